@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from granthika.session import table
 
-from . import leaks
+from . import leaks, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,24 @@ _WORDS = r"""list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}
 )
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return leaks.exact_leaks(leaks.find_leaks(table(spark, base, "eval_items"), table(spark, base, "documents")))
+
+
+_TERMS = r"""with cleaned as (select id, nullif(trim(regexp_replace(lower(source_term), '[\s\p{Z}]+', ' ', 'g')), '') as term,
+        book_id, coalesce(frequency, 0) as n, updated_at from glossary_terms),
+    once as (select term, book_id, n from (select *, row_number() over (partition by id order by updated_at desc nulls last,
+        term desc, book_id desc, n desc) as k from cleaned) where k = 1 and term is not null),
+    counted as (select term, sum(n)::bigint as total, count(distinct book_id) as records from once group by term)"""
+
+
+@query("p6_found", _TERMS + """
+    select term, 'rare' as mark from counted where total < 3
+    union all select term, 'common' from counted where records > 0.25 * (select count(distinct book_id) from glossary_terms)""")
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return terms.marked_terms(terms.term_frequencies(table(spark, base, "glossary_terms")))
+
+
+@query("p6_frequencies", _TERMS + """
+    select term, total, records, total < 3 as rare,
+        records > 0.25 * (select count(distinct book_id) from glossary_terms) as common from counted""")
+def p6_frequencies(spark: SparkSession, base: str) -> DataFrame:
+    return terms.term_frequencies(table(spark, base, "glossary_terms"))
