@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granthika.session import table
 
-from . import leaks, terms
+from . import leaks, lookalikes, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,10 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
         records > 0.25 * (select count(distinct book_id) from glossary_terms) as common from counted""")
 def p6_frequencies(spark: SparkSession, base: str) -> DataFrame:
     return terms.term_frequencies(table(spark, base, "glossary_terms"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    paragraphs = table(spark, base, "paragraphs").where("kind = 'text'").select(F.lit("paragraphs").alias("origin"), F.col("para_id").alias("id"), "text")
+    answers = table(spark, base, "qa_results").select(F.lit("qa_results").alias("origin"), F.col("qa_id").alias("id"), F.col("kannada_target").alias("text"))
+    return lookalikes.lookalike_pairs(paragraphs.unionByName(answers))
