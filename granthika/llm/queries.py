@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granthika.session import table
 
-from . import leaks, lookalikes, terms
+from . import leaks, lookalikes, sentences, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,16 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     paragraphs = table(spark, base, "paragraphs").where("kind = 'text'").select(F.lit("paragraphs").alias("origin"), F.col("para_id").alias("id"), "text")
     answers = table(spark, base, "qa_results").select(F.lit("qa_results").alias("origin"), F.col("qa_id").alias("id"), F.col("kannada_target").alias("text"))
     return lookalikes.lookalike_pairs(paragraphs.unionByName(answers))
+
+
+def edited_rows(spark: SparkSession, base: str) -> DataFrame:
+    """(origin, rec_id, row_no, text, target_language) of the edited texts of the batches."""
+    batches = table(spark, base, "translated_batches").select("batch_id", "target_language", F.posexplode("rows").alias("at", "row"))
+    return batches.select(F.lit("translated_batches").alias("origin"), F.col("batch_id").alias("rec_id"), (F.col("at") + 1).cast("int").alias("row_no"), F.col("row.edited").alias("text"), "target_language")
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    paragraphs = table(spark, base, "paragraphs").where("kind = 'text'")
+    texts = paragraphs.select(F.lit("paragraphs").alias("origin"), F.col("para_id").alias("rec_id"), F.lit(0).alias("row_no"), "text").unionByName(edited_rows(spark, base).drop("target_language"))
+    return sentences.split_sentences(texts, ["origin", "rec_id", "row_no"])
