@@ -13,6 +13,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from granthika.session import settle
+
 # Letters of the Latin, Cyrillic and Greek scripts that share a shape.
 _CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһԛԝвнкмтг", "ABESIJKMHOPCTYXaesijopcyxdhqwBHKMTr", strict=True))
 _GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχγ", "ABEZHIKMNOPTYXaiKvopuxy", strict=True))
@@ -148,9 +150,9 @@ def _apply(forms: pd.Series, repairs: pd.Series) -> pd.Series:
 
 
 def _vocabulary(forms: DataFrame) -> DataFrame:
-    """Distinct words of one script, without punctuation at the ends."""
+    """The words, without punctuation at the ends, as often as they come."""
     word = F.explode(F.split("form", r"\s+")).alias("w")
-    return forms.select(word).select(F.regexp_replace("w", r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", "").alias("w")).where("w <> ''").distinct()
+    return forms.select(word).select(F.regexp_replace("w", r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", "").alias("w")).where("w <> ''")
 
 
 def consistent_texts(texts: DataFrame, *, text_col: str = "text", key_col: str = "id") -> DataFrame:
@@ -163,13 +165,16 @@ def consistent_texts(texts: DataFrame, *, text_col: str = "text", key_col: str =
     base = texts.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
     plain = base.where(r"text is null or not text rlike '[^\\x00-\\x7f]'").withColumn("form", F.col("text"))
     other = base.where(r"text rlike '[^\\x00-\\x7f]'").withColumn("a", _analyse("text")).select("key", "text", "a.form", "a.mixed")
+    other = settle(other, "lookalike-forms")  # five readers follow, and the analysis is the dear part
     clean = other.where("size(mixed) = 0").select("key", "text", "form")
     mixed = other.where("size(mixed) > 0")
     tokens = mixed.select(F.explode("mixed").alias("m")).select("m.raw", "m.repaired").distinct()
     words = _vocabulary(plain.select("form").unionByName(clean.select("form")).where("form is not null"))
     own = _vocabulary(mixed.select("form"))  # the clean words of texts that also hold mixed ones
     own = own.join(tokens.select(F.col("raw").alias("w")).distinct(), "w", "left_anti")
-    known = tokens.join(words.unionByName(own).withColumnRenamed("w", "repaired").distinct(), "repaired", "left_semi")
+    wanted = tokens.select(F.col("repaired").alias("w")).distinct()
+    vocabulary = words.unionByName(own).join(wanted, "w", "left_semi").distinct()
+    known = tokens.join(vocabulary.withColumnRenamed("w", "repaired"), "repaired", "left_semi")
     exploded = mixed.select("form", F.explode("mixed").alias("m")).select("form", "m.raw", "m.rank", "m.repaired").distinct()
     best = exploded.join(known, ["raw", "repaired"]).groupBy("form", "raw").agg(F.min_by("repaired", "rank").alias("repaired"))
     repairs = best.groupBy("form").agg(F.collect_set(F.struct("raw", "repaired")).alias("repairs"))
