@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granthika.session import table
 
-from . import leaks, lookalikes, sentences, terms
+from . import languages, leaks, lookalikes, sentences, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,30 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     paragraphs = table(spark, base, "paragraphs").where("kind = 'text'")
     texts = paragraphs.select(F.lit("paragraphs").alias("origin"), F.col("para_id").alias("rec_id"), F.lit(0).alias("row_no"), "text").unionByName(edited_rows(spark, base).drop("target_language"))
     return sentences.split_sentences(texts, ["origin", "rec_id", "row_no"])
+
+
+def _language_models(spark: SparkSession, base: str):
+    documents = table(spark, base, "documents")
+    total = documents.count()
+    scripts = {r.key: r.script_re for r in table(spark, base, "target_languages").where("key is not null and script_re is not null").limit(100).collect()}
+    boundaries = sentences.fit_boundaries(documents, "text", sample_rows=4_000, total=total)
+    return languages.fit_languages(documents, boundaries, scripts, total=total), boundaries
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    documents = table(spark, base, "documents")
+    field, boundaries = _language_models(spark, base)
+    keys = ["origin", "rec_id", "row_no", "filed"]
+    filed = documents.select(F.lit("documents").alias("origin"), F.col("doc_id").alias("rec_id"), F.lit(0).alias("row_no"), languages.label_language(F.col("lang")).alias("filed"), "text")
+    rows = edited_rows(spark, base).withColumn("filed", languages.label_language(F.col("target_language"))).drop("target_language")
+    labelled = languages.label_languages(filed.unionByName(rows), keys, field, boundaries)
+    return languages.mislabelled(labelled, keys[:3])
+
+
+@query("p1_segments")
+def p1_segments(spark: SparkSession, base: str) -> DataFrame:
+    documents = table(spark, base, "documents")
+    field, boundaries = _language_models(spark, base)
+    labelled = languages.label_languages(documents, ["doc_id"], field, boundaries)
+    return labelled.select("doc_id", F.col("lang").alias("doc_lang"), F.inline("segments"))
