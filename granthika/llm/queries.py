@@ -90,7 +90,8 @@ def _language_models(spark: SparkSession, base: str):
     documents = table(spark, base, "documents")
     total = documents.count()
     scripts = {r.key: r.script_re for r in table(spark, base, "target_languages").where("key is not null and script_re is not null").limit(100).collect()}
-    boundaries = sentences.fit_boundaries(documents, "text", sample_rows=4_000, total=total)
+    batches = sentences.sampled_texts(edited_rows(spark, base), "text", 10_000)
+    boundaries = sentences.BoundaryModel.fit(sentences.sampled_texts(documents, "text", 4_000, total) + batches)
     return languages.fit_languages(documents, boundaries, scripts, total=total), boundaries
 
 
