@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granthika.session import table
 
-from . import languages, leaks, lookalikes, sentences, terms
+from . import languages, leaks, lookalikes, mixing, pieces, sentences, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,20 @@ def p1_segments(spark: SparkSession, base: str) -> DataFrame:
     field, boundaries = _language_models(spark, base)
     labelled = languages.label_languages(documents, ["doc_id"], field, boundaries)
     return labelled.select("doc_id", F.col("lang").alias("doc_lang"), F.inline("segments"))
+
+
+@query("p10_split")
+def p10_split(spark: SparkSession, base: str) -> DataFrame:
+    documents = table(spark, base, "documents")
+    settings = pieces.read_settings(table(spark, base, "split_settings"))
+    return pieces.split_texts(documents, settings, ["doc_id"], total=documents.count())
+
+
+@query("p9_mix")
+def p9_mix(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, base, "documents"), table(spark, base, "mix_targets"))[0]
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, base, "documents"), table(spark, base, "mix_targets"))[1]
