@@ -102,7 +102,7 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     keys = ["origin", "rec_id", "row_no", "filed"]
     filed = documents.select(F.lit("documents").alias("origin"), F.col("doc_id").alias("rec_id"), F.lit(0).alias("row_no"), languages.label_language(F.col("lang")).alias("filed"), "text")
     rows = edited_rows(spark, base).withColumn("filed", languages.label_language(F.col("target_language"))).drop("target_language")
-    labelled = languages.label_languages(filed.unionByName(rows), keys, field, boundaries)
+    labelled = languages.label_languages(filed.unionByName(rows), keys, field, boundaries, detail=False)
     return languages.mislabelled(labelled, keys[:3])
 
 
