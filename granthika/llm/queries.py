@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granthika.session import table
 
-from . import languages, leaks, lookalikes, mixing, pieces, sentences, terms
+from . import languages, leaks, lookalikes, mixing, pairs, pieces, sentences, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,8 @@ def p9_mix(spark: SparkSession, base: str) -> DataFrame:
 @query("p9_shares")
 def p9_shares(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mix_sources(table(spark, base, "documents"), table(spark, base, "mix_targets"))[1]
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return pairs.find_defects(table(spark, base, "qa_results"))
