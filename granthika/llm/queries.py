@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granthika.session import table
 
-from . import languages, leaks, lookalikes, mixing, pairs, pieces, sentences, terms
+from . import align, languages, leaks, lookalikes, mixing, pairs, pieces, sentences, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,9 @@ def p9_shares(spark: SparkSession, base: str) -> DataFrame:
 @query("p7_found")
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return pairs.find_defects(table(spark, base, "qa_results"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    batches = table(spark, base, "translated_batches")
+    return align.align_batches(batches, *align.fit_alignment(batches))
