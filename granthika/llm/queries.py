@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granthika.session import table
 
-from . import align, languages, leaks, lookalikes, mixing, pairs, pieces, sentences, terms
+from . import align, languages, leaks, lookalikes, mixing, pairs, pieces, scans, sentences, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,10 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     batches = table(spark, base, "translated_batches")
     return align.align_batches(batches, *align.fit_alignment(batches))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    name = F.trim(F.regexp_replace(F.regexp_replace("epub", r"\.[A-Za-z0-9]+$", ""), r"[_\-.]+", " "))
+    named = table(spark, base, "run_manifests").where("book_id is not null and epub is not null").select(F.col("book_id").alias("book"), F.array(name).alias("extra")).distinct()
+    return scans.repair_scans(table(spark, base, "imported_chapters"), more_titles=named)
