@@ -1,0 +1 @@
+"""Writers: EPUB, static site, review list, narration."""
