@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from granthika.functions import glossary, text as X, vectors as V
 from granthika.operators import candidates, chapters, ordered, quality
+from granthika.plans import book
 from granthika.session import table
+from granthika.streaming import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -481,3 +483,27 @@ def ocr_repaired(spark: SparkSession, base: str) -> DataFrame:
 )
 def event_fold(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("events"), F.max("ts").alias("last_ts"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"))
+
+
+@query(
+    "plan_translate",
+    f"""select book_id, chapter_id, index, text as source, ((row_number() over (partition by book_id, chapter_id order by index) - 1) // 20)::int as batch_no from {_DELIVERED} where text is not null""",
+)
+def plan_translate(spark: SparkSession, base: str) -> DataFrame:
+    terms = table(spark, base, "glossary_terms").where("source_term is not null")
+    return book.translate(delivered(spark, base), book.BookPlan(), terms).select("book_id", "chapter_id", "index", "source", "batch_no")
+
+
+@query("plan_quality")
+def plan_quality(spark: SparkSession, base: str) -> DataFrame:
+    done = book.translate(delivered(spark, base), book.BookPlan())
+    return book.evaluate(done, book.BookPlan()).select("book_id", "chapter_id", "index", F.round("similarity_score", 6).alias("similarity_score"), "qa_class")
+
+
+@query(
+    "event_windows",
+    "select date_trunc('hour', ts) as start, event_type, count(*) as events, round(sum(value), 4) as value from events group by all",
+)
+def event_windows(spark: SparkSession, base: str) -> DataFrame:
+    counted = arrivals.event_counts(table(spark, base, "events"))
+    return counted.select("start", "event_type", "events", F.round("value", 4).alias("value"))
