@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from granthika.session import scratch_path
 
@@ -36,7 +36,7 @@ def radix_leaves(spark: SparkSession, rows: DataFrame, leaf_rows: int) -> list[s
         part, level = todo.pop()
         path = scratch_path(spark, f"radix-{level}")
         part.withColumn("digit", _digit(level)).write.partitionBy("digit").parquet(path)
-        written = spark.read.parquet(path)
+        written = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("digit", T.IntegerType())])).parquet(path)
         sizes = written.groupBy("digit").agg(F.count("*").alias("n"), F.count_distinct("h").alias("hashes")).collect()
         for row in sizes:
             leaf = f"{path}/digit={row.digit}"
