@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from granthika.functions import glossary, text as X, vectors as V
-from granthika.operators import candidates, chapters, ordered, quality
+from granthika.operators import candidates, chapters, imports, ordered, quality
 from granthika.plans import book
 from granthika.session import table
 from granthika.streaming import arrivals
@@ -212,7 +212,7 @@ def chapters_of(spark: SparkSession, base: str) -> DataFrame:
         coalesce(regexp_matches(trim(title), '(?i)^ch(apter|\\.)\\s*([0-9]+|[ivxlcdm]+)\\b') or regexp_matches(trim(title), '(?i)^([0-9]+|[ivxlcdm]+)\\.?$'), false) as numbered,
         coalesce(regexp_matches(trim(first_text), '(?i)^ch(apter|\\.)\\s*([0-9]+|[ivxlcdm]+)\\b') or regexp_matches(trim(first_text), '(?i)^([0-9]+|[ivxlcdm]+)\\.?$'), false) as opens from c)
     select book_id, chapters, numbered, case when chapters >= 3 and numbered / chapters >= 0.6 then 'carry' else 'reset' end as mode from
-    (select book_id, count(*) as chapters, count_if(numbered or (titled and opens)) as numbered from m where not front group by book_id)""",
+    (select book_id, count(*) as chapters, count_if(numbered or (titled and opens))::bigint as numbered from m where not front group by book_id)""",
 )
 def context_mode(spark: SparkSession, base: str) -> DataFrame:
     return chapters.context_mode(chapters_of(spark, base))
@@ -270,7 +270,7 @@ def duplicate_keys(spark: SparkSession, base: str) -> DataFrame:
     "edition_years",
     rf"""with p as (select book_id, text from {_DELIVERED} where chapter_ord <= 3 and pos < 60 and length(text) <= 120),
     y as (select book_id, unnest(list_filter(string_split_regex(text, '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '1[5-9][0-9][0-9]|20[0-9][0-9]'))) as year from p)
-    select book_id, count(*) as years, count_if(year::int >= 1929) as recent, max(year::int) as last_year from y group by book_id""",
+    select book_id, count(*) as years, count_if(year::int >= 1929)::bigint as recent, max(year::int) as last_year from y group by book_id""",
 )
 def edition_years(spark: SparkSession, base: str) -> DataFrame:
     rows = delivered(spark, base).where("chapter_ord <= 3 and pos < 60 and length(text) <= 120").select("book_id", F.explode(X.years(F.col("text"))).alias("year"))
@@ -295,7 +295,7 @@ def qa_classes(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "qa_summary",
-    f"""select book_id, count(*) as total, count_if(similarity_score >= 0.85) as pass, count_if(similarity_score >= 0.70 and similarity_score < 0.85) as retry, count_if(similarity_score < 0.70) as flagged_for_review
+    f"""select book_id, count(*) as total, count_if(similarity_score >= 0.85)::bigint as pass, count_if(similarity_score >= 0.70 and similarity_score < 0.85)::bigint as retry, count_if(similarity_score < 0.70)::bigint as flagged_for_review
     from {_LATEST} group by book_id""",
 )
 def qa_summary(spark: SparkSession, base: str) -> DataFrame:
@@ -419,7 +419,7 @@ def unique_slugs(spark: SparkSession, base: str) -> DataFrame:
     """with m as (select book_id, run_id, regexp_replace(p.message, '\\([0-9]+,[0-9]+\\):', ':', 'g') as key, row_number() over (partition by book_id, run_id) as x, dense_rank() over (partition by book_id order by started_at desc, run_id desc) as back
         from (select book_id, run_id, started_at, unnest(source_problems) as p from run_manifests)),
     o as (select distinct book_id, key from m where back = 2)
-    select m.book_id, count_if(o.key is not null) as inherited, count_if(o.key is null) as new from m left join o on m.book_id = o.book_id and m.key = o.key where back = 1 group by m.book_id""",
+    select m.book_id, count_if(o.key is not null)::bigint as inherited, count_if(o.key is null)::bigint as new from m left join o on m.book_id = o.book_id and m.key = o.key where back = 1 group by m.book_id""",
 )
 def problem_diff(spark: SparkSession, base: str) -> DataFrame:
     runs = table(spark, base, "run_manifests").select("book_id", "run_id", "started_at", F.explode("source_problems").alias("p")).select("book_id", "run_id", "started_at", "p.message")
@@ -450,7 +450,7 @@ def import_lines(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "page_lines",
-    f"select import_id, count(*) as lines, count_if(regexp_matches(trim(line), '^[0-9ivxlIl]{{1,4}}$')) as page_numbers from {_LINES} group by import_id",
+    f"select import_id, count(*) as lines, count_if(regexp_matches(trim(line), '^[0-9ivxlIl]{{1,4}}$'))::bigint as page_numbers from {_LINES} group by import_id",
 )
 def page_lines(spark: SparkSession, base: str) -> DataFrame:
     return import_lines(spark, base).groupBy("import_id").agg(F.count("*").alias("lines"), F.count_if(X.is_page_number(F.trim("line"))).alias("page_numbers"))
@@ -507,3 +507,42 @@ def plan_quality(spark: SparkSession, base: str) -> DataFrame:
 def event_windows(spark: SparkSession, base: str) -> DataFrame:
     counted = arrivals.event_counts(table(spark, base, "events"))
     return counted.select("start", "event_type", "events", F.round("value", 4).alias("value"))
+
+
+@query(
+    "heading_markers",
+    r"""with t as (select para_id, trim(text) as line from paragraphs where kind = 'heading'),
+    m as (select para_id, coalesce(nullif(regexp_extract(line, '(?i)^((CHAPTER|CHAP\.?)\s+([IVXL]+|[0-9]+)\.?)(\s+\S.*)?$', 1), ''), nullif(regexp_extract(line, '(?i)^((BOOK|PART)\s+[0-9]+\.?)(\s+\S.*)?$', 1), ''),
+    case when regexp_matches(line, '^[IVXL]+\.?$') then rtrim(line, '.') end) as heading from t) select para_id, heading from m where heading is not null""",
+)
+def heading_markers(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "paragraphs").where("kind = 'heading'")
+    return rows.select("para_id", X.pattern_heading(F.col("text")).alias("heading")).where("heading is not null")
+
+
+@query(
+    "hard_wrapped",
+    f"""with c as (select import_id, count_if(length(line) between 50 and 90) as n, count_if(length(line) between 50 and 90 and not regexp_matches(line, '[.!?"''”’):;]$')) as o from {_LINES} group by import_id)
+    select import_id, n >= 3 and o >= 0.6 * n as wrapped from c""",
+)
+def hard_wrapped(spark: SparkSession, base: str) -> DataFrame:
+    return imports.hard_wrapped(import_lines(spark, base).withColumnRenamed("line", "text"), ["import_id"])
+
+
+@query("dehyphenated")
+def dehyphenated(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "imported_chapters").select("import_id", F.array_join("paragraphs", "\n").alias("text"))
+    return rows.select("import_id", imports.dehyphenate(F.col("text")).alias("text"))
+
+
+@query(
+    "suspicious_openings",
+    r"""with f as (select book_id, chapter_id, first(text order by index, para_id) as text from paragraphs where text is not null group by all),
+    o as (select book_id, chapter_id, regexp_extract(text, '^\s*([A-Z0-9]{2,})([^\p{L}\p{N}]|$)', 1) as opening from f),
+    k as (select upper(word) as word from (select lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as word from paragraphs where kind = 'text') group by 1 having count(*) >= 2)
+    select book_id, chapter_id, opening from o where opening <> '' and opening not in (select word from k)""",
+)
+def suspicious_openings(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "paragraphs").where("text is not null").withColumn("place", F.struct("index", "para_id"))
+    known = candidates.known_words(rows.where("kind = 'text'").withColumn("all", F.lit(1)), ["all"])
+    return imports.suspicious_openings(rows, ["book_id", "chapter_id"], "place", known)
