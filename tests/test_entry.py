@@ -29,4 +29,5 @@ def test_core_query(spark, name):
 
 def test_entry(spark):
     if os.path.isdir(BASE):
-        assert entry.entry(spark).columns == ["source", "term", "frequency"]
+        rows = entry.entry(spark)
+        assert rows.columns == ["book_id", "chapter_id", "batch_no", "n", "prior_context"] and rows.count() > 0
