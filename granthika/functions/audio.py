@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 # How fast an emotion is spoken.
-PACE = {"happy": 1.1, "sad": 0.9, "anger": 1.1, "fear": 1.1, "surprise": 1.1, "command": 1.05}
+PACE = {"sad": 0.9, "fear": 1.05, "happy": 1.05, "command": 1.05, "anger": 1.1, "surprise": 1.1}
 
 
 def normalise_peak(samples: Column, peak: float = 0.9) -> Column:

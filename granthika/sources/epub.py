@@ -12,20 +12,22 @@ import posixpath
 import re
 import zipfile
 from html.parser import HTMLParser
-from urllib.parse import unquote
+from urllib.parse import unquote, urlsplit
 from xml.etree import ElementTree as ET
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 # Tags that hold a paragraph of their own, tags without end tag, and marks of boilerplate.
-BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "td", "th", "caption", "dt", "dd", "figcaption")
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6", "caption")
+BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "td", "th", "caption")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 CELLS = ("td", "th")
 VOID = ("br", "hr", "img", "input", "meta", "link", "col", "area", "base", "embed", "source", "track", "wbr")
-BOILERPLATE_CLASSES = ("pg-boilerplate", "pgheader", "pgfooter")
-BOILERPLATE_IDS = ("pg-header", "pg-footer", "pg-machine-header")
-INLINE = ("i", "em", "b", "strong", "u", "sup", "sub", "small", "a", "span")
+BOILERPLATE_CLASSES = ("pg-boilerplate", "licenseContainer")
+BOILERPLATE_IDS = ("pg-header", "pg-footer")
+WIKI_HOST = "wikisource.org"
+WIKI_EXTRA = ("title", "about")
+INLINE = ("i", "em", "b", "strong", "u", "cite", "a", "sup", "sub", "small", "abbr", "q")
 MAX_TITLE = 200
 
 PARAGRAPHS = "path string, book_title string, chapter_ord int, chapter_id string, chapter_title string, pos int, index int, kind string, text string, marked_text string"
@@ -33,6 +35,9 @@ METADATA = "path string, title string, creator string, date string, language str
 MANIFEST = "path string, item_id string, href string, media_type string, properties string, in_spine boolean"
 
 
+_EMPTY_MARK = re.compile(r"⟦(\d+)⟧\s*⟦/\1⟧")
+
+
 def _flat(text: str) -> str:
     return " ".join(text.split())
 
@@ -141,7 +146,9 @@ def paragraphs_of(blocks: list[dict], least: int = 1) -> list[tuple[int, str, st
         text = _flat("".join(block["text"]))
         if block["inner"] or block["junk"] or len(text) < least:
             continue
-        marked = _flat("".join(block["marked"])) if block["marks"] else None
+        marked = _flat(_EMPTY_MARK.sub("", "".join(block["marked"]))) if block["marks"] else None
+        if marked is not None and "⟦" not in marked:
+            marked = None
         if marked is not None and _flat(re.sub(r"⟦/?\d+⟧", "", marked)) != text:
             marked = None
         out.append((block["index"], kind_of(block), text, marked))
@@ -167,6 +174,18 @@ class Book:
     def first(self, name: str) -> str | None:
         return next((_flat("".join(e.itertext())) or None for e in self.opf.iter() if _local(e.tag) == name and _flat("".join(e.itertext()))), None)
 
+    def from_wiki(self) -> bool:
+        """Whether the package says that it was exported from the transcription wiki."""
+        for e in self.opf.iter():
+            text = (e.text or "").strip()
+            if _local(e.tag) == "contributor" and text == "Wikisource":
+                return True
+            if _local(e.tag) in ("identifier", "source"):
+                host = urlsplit(text).hostname or ""
+                if host == WIKI_HOST or host.endswith("." + WIKI_HOST):
+                    return True
+        return False
+
     def documents(self) -> list[tuple[str, str]]:
         """(item id, zip path) of the linear XHTML documents in reading order, each once; a missing file is an error."""
         out, seen = [], set()
@@ -226,7 +245,10 @@ def book_rows(path: str, data: bytes, view: str, least: int) -> list[tuple]:
         inside = {i for i, _ in book.spine}
         return [(path, k, v.get("href"), v.get("media-type"), v.get("properties"), k in inside) for k, v in book.items.items()]
     title, labels, out, order = book.first("title"), book.labels(), [], 0
+    left_out = WIKI_EXTRA if book.from_wiki() else ()
     for item, name in book.documents():
+        if item in left_out:
+            continue
         blocks, head = read_blocks(book.zip.read(name))
         rows = paragraphs_of(blocks, least)
         if not rows:

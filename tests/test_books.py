@@ -34,13 +34,13 @@ def test_epub_round_trip(spark, library):
 
 
 def test_blocks():
-    html = b"""<html><head><title>T</title></head><body><h1>Head</h1><p>One <i>two</i> <b>three</b></p><div id="pg-header"><p>junk</p></div>
+    html = b"""<html><head><title>T</title></head><body><h1>Head</h1><p><a id="x"></a>One <i>two</i> <b>three</b></p><div id="pg-header"><p>junk</p></div>
     <table><caption>Cap</caption><tr><td><p>cell</p></td><td>plain</td></tr></table><blockquote><p>inner</p></blockquote><p>&amp; end<br/>line</p></body></html>"""
     blocks, title = epub.read_blocks(html)
     rows = epub.paragraphs_of(blocks)
     assert title == "T"
-    assert [(r[1], r[2]) for r in rows] == [("heading", "Head"), ("text", "One two three"), ("heading", "Cap"), ("table_cell", "cell"), ("table_cell", "plain"), ("text", "inner"), ("text", "& end line")]
-    assert rows[1][3] == "One ⟦1⟧two⟦/1⟧ ⟦2⟧three⟦/2⟧"
+    assert [(r[1], r[2]) for r in rows] == [("heading", "Head"), ("text", "One two three"), ("text", "Cap"), ("table_cell", "cell"), ("table_cell", "plain"), ("text", "inner"), ("text", "& end line")]
+    assert rows[1][3] == "One ⟦2⟧two⟦/2⟧ ⟦3⟧three⟦/3⟧"
     assert [r[0] for r in rows] == [0, 1, 3, 5, 6, 8, 9]
 
 
@@ -119,3 +119,14 @@ def test_arrivals(spark, library, tmp_path):
     for _ in range(2):
         arrivals.run_available(arrivals.epub_arrivals(spark, str(library)), lambda df, n: seen.append(df.count()), str(tmp_path / "cp")).awaitTermination()
     assert sum(seen) == 7
+
+
+def test_wiki_pages_are_left_out(tmp_path):
+    path = tmp_path / "w.epub"
+    item = lambda i: f'<item id="{i}" href="{i}.xhtml" media-type="application/xhtml+xml"/>'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="p.opf"/></rootfiles></container>')
+        z.writestr("p.opf", f'<package><metadata><source>https://kn.wikisource.org/x</source></metadata><manifest>{item("title")}{item("c1")}</manifest><spine><itemref idref="title"/><itemref idref="c1"/></spine></package>')
+        for name in ("title", "c1"):
+            z.writestr(f"{name}.xhtml", f"<html><body><p>{name}</p></body></html>")
+    assert [r[8] for r in epub.book_rows(str(path), path.read_bytes(), "paragraphs", 1)] == ["c1"]
