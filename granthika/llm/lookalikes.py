@@ -168,7 +168,8 @@ def consistent_texts(texts: DataFrame, *, text_col: str = "text", key_col: str =
     other = settle(other, "lookalike-forms")  # five readers follow, and the analysis is the dear part
     clean = other.where("size(mixed) = 0").select("key", "text", "form")
     mixed = other.where("size(mixed) > 0")
-    tokens = mixed.select(F.explode("mixed").alias("m")).select("m.raw", "m.repaired").distinct()
+    # written, so that its size is known when the joins with all words are planned: small, it is sent to them, else both are shuffled
+    tokens = settle(mixed.select(F.explode("mixed").alias("m")).select("m.raw", "m.repaired").distinct(), "lookalike-tokens")
     words = _vocabulary(plain.select("form").unionByName(clean.select("form")).where("form is not null"))
     own = _vocabulary(mixed.select("form"))  # the clean words of texts that also hold mixed ones
     own = own.join(tokens.select(F.col("raw").alias("w")).distinct(), "w", "left_anti")
