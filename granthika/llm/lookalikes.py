@@ -8,6 +8,7 @@ letters of the same shape, and the replacement stands only where the result is a
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -20,6 +21,9 @@ _CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһԛԝ
 _GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχγ", "ABEZHIKMNOPTYXaiKvopuxy", strict=True))
 #: Shapes that equal a Latin small capital only, so no lower-case letter stands for them.
 _SMALL_CAPITALS = "внкмтк"
+# Letters and signs of the Telugu, Kannada and Malayalam scripts that share a shape, in this order; a blank stands for none.
+_SOUTHERN = ("TELUGU", "KANNADA", "MALAYALAM")
+_TWINS = "ంಂം ఃಃഃ అಅ  ఆಆ  ఇಇ  ఌಌ  ఒಒ  ఓಓ  ఔಔ  గಗ  జಜ  ఞಞ  టಟ  ఠಠ  డಡ  ఢಢ  ణಣ  థಥ  దದ  ధಧ  నನ  బಬ  భಭ  యಯ  రರ  ఱಱ  లಲ  ళಳ  ిಿ  ుು  ూೂ  ృೃ  ౄೄ "
 # Ligatures and what they stand for.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ǉ": "lj", "ǌ": "nj", "Ǉ": "LJ", "Ǌ": "NJ"}
 # Characters without width or ink.
@@ -39,11 +43,18 @@ def _form_table() -> dict[int, str | None]:
 
 
 _FORMS = _form_table()
-_TO_LATIN = {**_GREEK, **_CYRILLIC}
-_FROM_LATIN: dict[str, dict[str, str]] = {
+_TO_SHAPE = {**_GREEK, **_CYRILLIC}  # a Latin letter is its own shape, of southern twins the first is
+_FROM_SHAPE: dict[str, dict[str, str]] = {
     "CYRILLIC": {v: k for k, v in _CYRILLIC.items() if k not in _SMALL_CAPITALS},
     "GREEK": {v: k for k, v in _GREEK.items() if v.isupper() == k.isupper()},
 }
+for _i in range(0, len(_TWINS), 4):
+    for _script, _c in zip(_SOUTHERN, _TWINS[_i : _i + 3], strict=True):
+        if _c != " ":
+            _TO_SHAPE[_c] = _TWINS[_i]
+            _FROM_SHAPE.setdefault(_script, {})[_TWINS[_i]] = _c
+_WESTERN = re.compile("[\u0370-\u052f]")
+_BLOCKS = [re.compile(x) for x in ("[\u0c00-\u0c7f]", "[\u0c80-\u0cff]", "[\u0d00-\u0d7f]")]
 _SCRIPTS: dict[str, str] = {}
 
 
@@ -53,10 +64,11 @@ def one_form(text: str) -> str:
 
 
 def script_of(char: str) -> str:
-    """Script of a letter by the first word of its Unicode name; empty for what is no letter."""
+    """Script of a letter or a script's own sign by the first word of its Unicode name; empty for all else."""
     known = _SCRIPTS.get(char)
     if known is None:
-        known = unicodedata.name(char, "").split(" ")[0] if char.isalpha() else ""
+        known = unicodedata.name(char, "").split(" ")[0] if char.isalpha() or unicodedata.category(char)[0] == "M" else ""
+        known = "" if known in ("COMBINING", "VARIATION") else known  # these signs go with any script
         if len(_SCRIPTS) < 200_000:
             _SCRIPTS[char] = known
     return known
@@ -81,13 +93,13 @@ def unmixed(token: str, home: str) -> list[str]:
         letters = []
         for c in token:
             s = script_of(c)
-            latin = c if s == "LATIN" else _TO_LATIN.get(c)
-            twin = c if s in ("", target) else latin if target == "LATIN" else _FROM_LATIN.get(target, {}).get(latin or "")
+            shape = c if s == "LATIN" else _TO_SHAPE.get(c, "")
+            twin = c if s in ("", target) else _FROM_SHAPE.get(target, {}).get(shape) if target != "LATIN" else shape if shape.isascii() else ""
             if not twin:
                 break
             letters.append(twin)
         else:
-            out.append("".join(letters))
+            out.append(unicodedata.normalize("NFC", "".join(letters)))
     return out
 
 
@@ -111,8 +123,8 @@ def _home(text: str) -> str:
 
 
 def _may_mix(text: str) -> bool:
-    """Whether a text can hold look-alikes at all: it has a Greek or Cyrillic letter."""
-    return any("Ͱ" <= c <= "ԯ" for c in text)
+    """Whether a text can hold look-alikes at all: twins of two scripts need a Greek or Cyrillic letter, or two southern scripts."""
+    return _WESTERN.search(text) is not None or sum(b.search(text) is not None for b in _BLOCKS) > 1
 
 
 def _repairs(form: str) -> list[dict]:

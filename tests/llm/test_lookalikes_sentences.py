@@ -24,6 +24,21 @@ def test_unmixed():
     assert K.unmixed("мир", "LATIN") == [] and K.unmixed("plain", "LATIN") == []
 
 
+def test_unmixed_southern():
+    assert K.unmixed("ಎ\u0c02ದು", "KANNADA") == ["ಎ\u0c82ದು"] and K.unmixed("ఎ\u0c82త", "TELUGU") == ["ఎ\u0c02త"]
+    assert K.unmixed("ದು\u0c03ಖ", "KANNADA") == ["ದು\u0c83ಖ"] and K.unmixed("\u0c05ವರು", "KANNADA") == ["ಅವರು"]
+    assert K.unmixed("ക\u0c82", "MALAYALAM") == ["ക\u0d02"] and K.unmixed("ಕ\u0cc6\u0c42ಡ", "KANNADA") == ["ಕ\u0ccaಡ"]
+    assert K.unmixed("\u0c15ಎ", "KANNADA") == [] and K.unmixed("abc", "KANNADA") == [] and K.unmixed("ಅ\u0c82", "LATIN") == []
+    assert K.unmixed("cafе\u0301", "LATIN") == ["café"]
+
+
+def test_pairs_southern(spark):
+    rows = [("p", 1, "ಮನೆ ಎ\u0c82ದು"), ("p", 2, "ಮನೆ ಎ\u0c02ದು"), ("p", 3, "ಮನೆ ದ\u0c02ತ"), ("p", 4, "ಮನೆ ದಂತ."), ("p", 5, "ఎం ಕ"), ("p", 6, "ఎಂ ಕ")]
+    df = spark.createDataFrame(rows, "origin string, id long, text string")
+    assert values(K.lookalike_pairs(df)) == [("p", 1, 2)]
+    assert {r.key: r.consistent for r in K.consistent_texts(df).collect()}[3] == "ಮನೆ ದ\u0c82ತ"
+
+
 def test_pairs(spark):
     rows = [
         ("p", 1, "The younger brother"), ("p", 2, "The yоunger brother"), ("p", 3, "The younger brother"), ("p", 4, "The younger brother"), ("p", 5, "The Younger brother"), ("p", 6, "The younger brother."),
