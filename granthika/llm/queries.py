@@ -12,6 +12,7 @@ from . import align, languages, leaks, lookalikes, mixing, pairs, pieces, scans,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_PLACE = ["origin", "rec_id", "row_no"]
 
 
 def query(name: str, sql: str | None = None):
@@ -95,23 +96,25 @@ def _language_models(spark: SparkSession, base: str):
     return languages.fit_languages(documents, boundaries, scripts, total=total), boundaries
 
 
-@query("p1_found")
-def p1_found(spark: SparkSession, base: str) -> DataFrame:
+def _labelled_texts(spark: SparkSession, base: str, detail: bool) -> DataFrame:
+    """(origin, rec_id, row_no, filed, lang, confidence, whole, segments if ``detail``) of all documents and edited rows."""
     documents = table(spark, base, "documents")
     field, boundaries = _language_models(spark, base)
-    keys = ["origin", "rec_id", "row_no", "filed"]
     filed = documents.select(F.lit("documents").alias("origin"), F.col("doc_id").alias("rec_id"), F.lit(0).alias("row_no"), languages.label_language(F.col("lang")).alias("filed"), "text")
     rows = edited_rows(spark, base).withColumn("filed", languages.label_language(F.col("target_language"))).drop("target_language")
-    labelled = languages.label_languages(filed.unionByName(rows), keys, field, boundaries, detail=False)
-    return languages.mislabelled(labelled, keys[:3])
+    return languages.label_languages(filed.unionByName(rows), [*_PLACE, "filed"], field, boundaries, detail=detail)
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    return languages.mislabelled(_labelled_texts(spark, base, detail=False), _PLACE)
 
 
 @query("p1_segments")
 def p1_segments(spark: SparkSession, base: str) -> DataFrame:
-    documents = table(spark, base, "documents")
-    field, boundaries = _language_models(spark, base)
-    labelled = languages.label_languages(documents, ["doc_id"], field, boundaries)
-    return labelled.select("doc_id", F.col("lang").alias("doc_lang"), F.inline("segments"))
+    """A row for each segment, with its text's own language and confidence; a text without segment has one row."""
+    labelled = _labelled_texts(spark, base, detail=True)
+    return labelled.select(*_PLACE, F.col("lang").alias("text_lang"), F.col("confidence").alias("text_confidence"), F.inline_outer("segments"))
 
 
 @query("p10_split")
