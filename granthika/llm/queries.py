@@ -67,11 +67,21 @@ def p6_frequencies(spark: SparkSession, base: str) -> DataFrame:
     return terms.term_frequencies(table(spark, base, "glossary_terms"))
 
 
-@query("p5_found")
-def p5_found(spark: SparkSession, base: str) -> DataFrame:
+def _lookalike_texts(spark: SparkSession, base: str) -> DataFrame:
     paragraphs = table(spark, base, "paragraphs").where("kind = 'text'").select(F.lit("paragraphs").alias("origin"), F.col("para_id").alias("id"), "text")
     answers = table(spark, base, "qa_results").select(F.lit("qa_results").alias("origin"), F.col("qa_id").alias("id"), F.col("kannada_target").alias("text"))
-    return lookalikes.lookalike_pairs(paragraphs.unionByName(answers))
+    return paragraphs.unionByName(answers)
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return lookalikes.lookalike_pairs(_lookalike_texts(spark, base))
+
+
+@query("p5_classes")
+def p5_classes(spark: SparkSession, base: str) -> DataFrame:
+    """Every text's class of equal reading; its pairs are those of p5_found where a class has several stored texts."""
+    return lookalikes.lookalike_classes(_lookalike_texts(spark, base))
 
 
 def edited_rows(spark: SparkSession, base: str) -> DataFrame:
@@ -90,30 +100,30 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
 def _language_models(spark: SparkSession, base: str):
     documents = table(spark, base, "documents")
     total = documents.count()
-    scripts = {r.key: r.script_re for r in table(spark, base, "target_languages").where("key is not null and script_re is not null").limit(100).collect()}
+    scripts = languages.read_scripts(table(spark, base, "target_languages"))
     batches = sentences.sampled_texts(edited_rows(spark, base), "text", 10_000)
     boundaries = sentences.BoundaryModel.fit(sentences.sampled_texts(documents, "text", 4_000, total) + batches)
     return languages.fit_languages(documents, boundaries, scripts, total=total), boundaries
 
 
-def _labelled_texts(spark: SparkSession, base: str, detail: bool) -> DataFrame:
-    """(origin, rec_id, row_no, filed, lang, confidence, whole, segments if ``detail``) of all documents and edited rows."""
+def _labelled_texts(spark: SparkSession, base: str) -> DataFrame:
+    """(origin, rec_id, row_no, filed, lang, confidence, whole, segments) of all documents and edited rows."""
     documents = table(spark, base, "documents")
     field, boundaries = _language_models(spark, base)
     filed = documents.select(F.lit("documents").alias("origin"), F.col("doc_id").alias("rec_id"), F.lit(0).alias("row_no"), languages.label_language(F.col("lang")).alias("filed"), "text")
     rows = edited_rows(spark, base).withColumn("filed", languages.label_language(F.col("target_language"))).drop("target_language")
-    return languages.label_languages(filed.unionByName(rows), [*_PLACE, "filed"], field, boundaries, detail=detail)
+    return languages.label_languages(filed.unionByName(rows), [*_PLACE, "filed"], field, boundaries)
 
 
 @query("p1_found")
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
-    return languages.mislabelled(_labelled_texts(spark, base, detail=False), _PLACE)
+    return languages.mislabelled(_labelled_texts(spark, base), _PLACE)
 
 
 @query("p1_segments")
 def p1_segments(spark: SparkSession, base: str) -> DataFrame:
     """A row for each segment, with its text's own language and confidence; a text without segment has one row."""
-    labelled = _labelled_texts(spark, base, detail=True)
+    labelled = _labelled_texts(spark, base)
     return labelled.select(*_PLACE, F.col("lang").alias("text_lang"), F.col("confidence").alias("text_confidence"), F.inline_outer("segments"))
 
 
