@@ -1,12 +1,14 @@
 """Frequency of every distinct term over the whole collection (problem 6).
 
 Recursive radix spilling: rows are reduced to one for each (term, record) and written to the shared folder by the
-top bits of the term's hash; a partition above ``leaf_rows`` rows is written again by the next bits until every leaf
+top bits of the term's hash; all partitions above ``leaf_rows`` rows are written again by the next bits until every leaf
 is small enough or holds one hash only. Each leaf is then aggregated on its own, out of core, by DuckDB.
 """
 
 from __future__ import annotations
 
+import shutil
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,29 +27,36 @@ def clean_term(term: F.Column) -> F.Column:
     return F.when(spaced != "", spaced)
 
 
-def _digit(level: int) -> F.Column:
-    return F.shiftrightunsigned("h", 64 - BITS * (level + 1)).bitwiseAND(2**BITS - 1).cast("int")
+def _prefix(level: int) -> F.Column:
+    """The bits of the hash that tell the partitions of a level apart, those of all levels above included."""
+    return F.hex(F.shiftrightunsigned("h", 64 - BITS * (level + 1)))
 
 
 def radix_leaves(spark: SparkSession, rows: DataFrame, leaf_rows: int) -> list[str]:
-    """Write ``rows`` (with the hash ``h``) by hash bits, oversized partitions by further bits; the leaves' paths."""
-    todo, leaves = [(rows, 0)], []
-    while todo:
-        part, level = todo.pop()
+    """Write ``rows`` (with the hash ``h``) by hash bits, all oversized partitions together by further bits; the leaves' paths.
+
+    A level is one write and one count, however many partitions it has.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("prefix", T.StringType())])
+    part, leaves = rows, []
+    for level in range(LEVELS):
         path = scratch_path(spark, f"radix-{level}")
-        part.withColumn("digit", _digit(level)).write.partitionBy("digit").parquet(path)
-        written = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("digit", T.IntegerType())])).parquet(path)
-        sizes = written.groupBy("digit").agg(F.count("*").alias("n"), F.count_distinct("h").alias("hashes")).collect()
-        for row in sizes:
-            leaf = f"{path}/digit={row.digit}"
-            if row.n > leaf_rows and row.hashes > 1 and level + 1 < LEVELS:
-                todo.append((spark.read.schema(rows.schema).parquet(leaf), level + 1))
-            else:
-                leaves.append(leaf)
+        part.withColumn("prefix", _prefix(level)).write.partitionBy("prefix").parquet(path)
+        written = spark.read.schema(schema).parquet(path)
+        sizes = written.groupBy("prefix").agg(F.count("*").alias("n"), (F.min("h") < F.max("h")).alias("several")).collect()
+        large = [r.prefix for r in sizes if r.n > leaf_rows and r.several and level + 1 < LEVELS]
+        leaves += [f"{path}/prefix={r.prefix}" for r in sizes if r.prefix not in set(large)]
+        if not large:
+            break
+        part = written.where(F.col("prefix").isin(large)).drop("prefix")
     return leaves
 
 
 def _aggregate(scratch: str, memory_mb: int):
+    """DuckDB over each leaf; it spills to a folder of its own in ``scratch``, or not at all where that is no mounted path."""
+    mounted = scratch.startswith("file:") or "://" not in scratch
+    folder = scratch.removeprefix("file://").removeprefix("file:")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
         from pyarrow import dataset, fs
@@ -57,14 +66,17 @@ def _aggregate(scratch: str, memory_mb: int):
                 system, path = fs.FileSystem.from_uri(leaf if "://" in leaf or leaf.startswith("file:") else "file://" + leaf)
                 found = [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
                 rows = dataset.dataset(found, filesystem=system, format="parquet")
-                con = duckdb.connect(config={"memory_limit": f"{memory_mb}MB", "threads": 1, "preserve_insertion_order": False})
-                if scratch.startswith("file:") or "://" not in scratch:
-                    con.execute(f"set temp_directory = '{scratch.removeprefix('file://').removeprefix('file:')}'")
-                con.register("rows", rows)
-                reader = con.sql("select term, sum(total)::bigint as total, count(record)::bigint as records from rows group by term").to_arrow_reader(50_000)
-                for out in reader:
-                    yield pa.RecordBatch.from_arrays([pa.array([leaf] * out.num_rows, pa.string()), *out.columns], ["leaf", "term", "total", "records"])
-                con.close()
+                own = f"{folder}/{uuid.uuid4().hex}" if mounted else ""
+                con = duckdb.connect(config={"memory_limit": f"{memory_mb}MB", "threads": 1, "preserve_insertion_order": False, "temp_directory": own})
+                try:
+                    con.register("rows", rows)
+                    reader = con.sql("select term, sum(total)::bigint as total, count(record)::bigint as records from rows group by term").to_arrow_reader(50_000)
+                    for out in reader:
+                        yield pa.RecordBatch.from_arrays([pa.array([leaf] * out.num_rows, pa.string()), *out.columns], ["leaf", "term", "total", "records"])
+                finally:
+                    con.close()
+                    if own:
+                        shutil.rmtree(own, ignore_errors=True)
 
     return run
 
