@@ -144,13 +144,14 @@ def _fly(seed: int):
 def balanced_draw(rows: DataFrame, *, seed: int = 17, block_rows: int = 20_000, most_rounds: int = 12) -> DataFrame:
     """(doc_id, source, tokens, pi): the rows with each ``pi`` moved to 0 or 1, balanced within its source.
 
-    A source is dealt by hash over blocks of about ``block_rows`` rows, however many it has.
+    A source is dealt by hash over blocks of about ``block_rows`` rows, however many it has. Each round leaves two rows of a block
+    undecided; rows still undecided after ``most_rounds`` (blocks of a few rows only) are an error, never left out.
     """
-    done, open_rows = None, rows
-    for turn in range(most_rounds):
+    spark, done, open_rows = rows.sparkSession, None, rows
+    for turn in range(most_rounds + 1):
         sizes = {r.source: r.n for r in open_rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
         if not sizes:
-            break
+            return rows.limit(0) if done is None else done
         small = all(n <= 2 for n in sizes.values())
         if small:
             left = open_rows.orderBy("source", "doc_id", "tokens").collect()
@@ -158,15 +159,18 @@ def balanced_draw(rows: DataFrame, *, seed: int = 17, block_rows: int = 20_000,
             for _, group in itertools.groupby(left, key=lambda r: r.source):
                 group = list(group)
                 landed += [(r.doc_id, r.source, r.tokens, c) for r, c in zip(group, landing([r.pi for r in group], [float(r.tokens) for r in group]), strict=True)]
-            last = rows.sparkSession.createDataFrame(landed, _ROUND)
+            last = spark.createDataFrame(landed, _ROUND)
             return last if done is None else done.unionByName(last)
-        parts = F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, max(1, math.ceil(n / block_rows)))])
-        block = F.pmod(F.xxhash64(F.lit(seed + turn), "doc_id", "tokens"), parts[F.col("source")].cast("long"))
-        flown = settle(open_rows.withColumn("block", block).groupBy("source", "block").applyInPandas(_fly(seed + turn), _ROUND), f"flight-{turn}")
+        if turn == most_rounds:
+            break
+        parts = spark.createDataFrame([(s, max(1, math.ceil(n / block_rows))) for s, n in sizes.items()], "source string, parts long")
+        block = F.pmod(F.xxhash64(F.lit(seed + turn), "doc_id", "tokens"), "parts")
+        dealt = open_rows.join(F.broadcast(parts), "source").withColumn("block", block).drop("parts")  # a row for each of at most ``most_sources``
+        flown = settle(dealt.groupBy("source", "block").applyInPandas(_fly(seed + turn), _ROUND), f"flight-{turn}")
         decided = flown.where("pi = 0 or pi = 1")
         done = decided if done is None else done.unionByName(decided)
         open_rows = flown.where("pi > 0 and pi < 1")
-    return rows.limit(0) if done is None else done
+    raise RuntimeError(f"{sum(sizes.values())} rows are undecided after {most_rounds} rounds: use larger blocks than {block_rows} rows")
 
 
 def mix_plan(counts: DataFrame, targets: DataFrame, most_sources: int = 10_000) -> list[dict]:
@@ -200,13 +204,11 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, ranks: str | None =
     used = [p for p in plan if p["rate"] > 0]
     out = counts.limit(0).withColumn("repeats", F.lit(0))
     if used:
-        rate = F.create_map(*[F.lit(x) for p in used for x in (p["source"], p["rate"])])[F.col("source")]
-        rated = counts.where(F.col("source").isin([p["source"] for p in used])).withColumn("rate", rate)
-        base = rated.withColumn("base", F.floor("rate").cast("int")).withColumn("pi", F.col("rate") - F.floor("rate"))
+        rates = F.broadcast(spark.createDataFrame([(p["source"], p["rate"]) for p in used], "source string, rate double"))  # at most ``most_sources`` rows
+        base = counts.join(rates, "source").withColumn("base", F.floor("rate").cast("int")).withColumn("pi", F.col("rate") - F.floor("rate"))
         drawn = balanced_draw(base.where("pi > 0").select("doc_id", "source", "tokens", "pi"), seed=seed, block_rows=block_rows)
-        bases = F.create_map(*[F.lit(x) for p in used for x in (p["source"], int(p["rate"]))])[F.col("source")]
         whole = base.where("pi = 0").select("doc_id", "source", "tokens", F.col("base").alias("repeats"))
-        out = whole.unionByName(drawn.select("doc_id", "source", "tokens", (bases + F.col("pi").cast("int")).alias("repeats"))).where("repeats > 0")
+        out = whole.unionByName(drawn.join(rates, "source").select("doc_id", "source", "tokens", (F.floor("rate").cast("int") + F.col("pi").cast("int")).alias("repeats"))).where("repeats > 0")
     got = out.groupBy("source").agg(F.count("*").alias("documents_used"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens_used"), F.max("repeats").alias("repeats_used"))
     goals = spark.createDataFrame([(p["source"], p["share"], p["most"], p["documents"], p["tokens"]) for p in plan], "source string, target_share double, max_repeats int, documents long, tokens long")
     total = F.sum(F.coalesce("tokens_used", F.lit(0))).over(_all())
