@@ -12,6 +12,7 @@ scanned once for each.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -176,18 +177,21 @@ def find_leaks(items: DataFrame, documents: DataFrame, *, window: int = 12, budg
         raise ValueError("window must be 2 to 63 words and budget less than that")
     wanted = items.select(F.col("item_id").cast("long"), plain_words(F.col("text")).alias("words")).where("item_id is not null and words is not null").distinct()
     corpus = documents.select(F.col("doc_id").cast("long").alias("doc_id"), plain_words(F.col("text")).alias("words")).where("doc_id is not null and words is not null")
-    parts, part, size = [], [], 0
+    scans, part, size = [], [], 0
+
+    def scan_part() -> None:  # the index goes to the tasks' files here, the driver keeps none
+        scans.append(corpus.mapInArrow(_scan(PieceIndex(part, window, budget)), "item_id long, doc_id long, edits int"))
+        part.clear()
+
     for row in wanted.orderBy("item_id", "words").toLocalIterator():
         part.append((row.item_id, row.words))
         size += row.words.count(" ") + 1
         if size >= index_limit:
-            parts.append(part)
-            part, size = [], 0
-    parts.append(part)
-    out = None
-    for part in parts:
-        one = corpus.mapInArrow(_scan(PieceIndex(part, window, budget)), "item_id long, doc_id long, edits int")
-        out = one if out is None else out.unionByName(one)
+            scan_part()
+            size = 0
+    if part or not scans:
+        scan_part()
+    out = functools.reduce(DataFrame.unionByName, scans)
     return out.groupBy("item_id", "doc_id").agg(F.min("edits").alias("edits"))
 
 
