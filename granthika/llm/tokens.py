@@ -15,13 +15,17 @@ _CACHED, _LONGEST = 400_000, 400
 
 
 def default_ranks() -> str:
-    """Path of the rank file used unless another is given."""
+    """Path of the rank file used unless another is given: that of the installed package of public tokenizers."""
     try:
         import public_tokenizers
+    except ImportError as missing:
+        raise RuntimeError("no package of public tokenizers is installed: give the path of a rank file as ranks") from missing
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
-        return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    except ImportError:
-        return "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+def chunk_ends(text: str) -> list[int]:
+    """Where the chunks of white space and word end that are tokenized each by itself."""
+    return [len(text)] if _ODD_SPACE.search(text) else [m.end() for m in _CHUNK.finditer(text)]
 
 
 class Tokenizer:
