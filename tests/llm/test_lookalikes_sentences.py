@@ -126,6 +126,35 @@ def test_viterbi_needs_letters():
     assert S.viterbi([1.0, 5.0, 0.0], [True, False, True]) == [False, True, True]
 
 
+def test_viterbi_against_enumeration():
+    import itertools
+
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randrange(1, 6)
+        scores, letters, moves = [rng.gauss(0, 2) for _ in range(n)] + [0.0], [rng.random() < 0.7 for _ in range(n + 1)], tuple(rng.gauss(0, 1) for _ in range(4))
+        letters = [True] * (n + 1) if rng.random() < 0.4 else letters
+
+        def value(tags):
+            total, last, seen = 0.0, True, False
+            for k, t in enumerate(tags):
+                seen = seen or letters[k]
+                if t and not seen and k < n:
+                    return float("-inf")
+                total += moves[(0 if last else 2) + (0 if t else 1)] + (scores[k] if t else 0.0)
+                last, seen = t, seen and not t
+            return total
+
+        best = max(((*x, True) for x in itertools.product((False, True), repeat=n)), key=value)
+        assert abs(value(S.viterbi(scores, letters, moves)) - value(best)) < 1e-9
+
+
+def test_moves_are_learned():
+    alternating = [[3.0, -3.0] * 6 for _ in range(50)]
+    bb, bi, ib, ii = S.learned_moves(alternating, (0.0, 0.0, 0.0, 0.0))
+    assert bi > 0.3 and ib > 0.3 and bb < 0 and ii < -0.3
+
+
 def test_split_operator(spark, model):
     df = spark.createDataFrame([(1, "It rained again. Nobody knew.", "z"), (1, "It rained again. Nobody knew.", "z"), (2, None, "z"), (3, "", "z"), (4, "word " * 60_000, "z")], "k long, text string, sent_start string")
     assert values(S.split_sentences(df, ["k"], model=model)) == [(1, 0, 16), (1, 0, 16), (1, 17, 29), (1, 17, 29), (4, 0, 299_999)]

@@ -40,6 +40,14 @@ def test_mix(spark):
     assert values(empty) == [] and all(r.tokens_used == 0 for r in none.collect())
 
 
+def test_mix_of_tiny_blocks_raises_rather_than_drops(spark):
+    rows = spark.createDataFrame([(i, "a", 10 + i % 7, 0.4) for i in range(60)], mixing._ROUND)
+    done = mixing.balanced_draw(rows, block_rows=20)
+    assert done.count() == 60 and {r.pi for r in done.collect()} == {0.0, 1.0}
+    with pytest.raises(RuntimeError, match="undecided"):
+        mixing.balanced_draw(rows, block_rows=1, most_rounds=1)
+
+
 TEXT = "Chapter 1\n\n" + "\n\n".join(f"It rained on day {i}. Nobody came. “Who is there?” asked Dr. Payaki again." for i in range(40)) + "\n\nಮಳೆ ಬಂತು. " * 60 + "ಕ" * 400
 
 
@@ -70,6 +78,8 @@ def test_pieces_of_any_text(text):
         assert rows == []
     else:
         assert rows[0]["piece_start"] == 0 and rows[-1]["piece_end"] == len(text) and all(a["piece_end"] >= b["piece_start"] for a, b in zip(rows, rows[1:], strict=False)) and max(r["n_tokens"] for r in rows) <= 12
+        counter = tokens.Tokenizer()
+        assert all(len(counter.lengths(r["piece"])) == r["n_tokens"] for r in rows)  # the piece's own tokens, not its share of the whole
 
 
 def test_natural_cuts():
