@@ -31,10 +31,13 @@ def local_session(cpus: int = 8, app: str = "granthika", **conf: str) -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, read from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, single node) one under the warehouse folder is set.
+    Where the session names none and all runs on one machine (tests) one under the warehouse folder is set; a cluster must name it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"{master}: spark.checkpoint.dir must name a folder that all executors share")
         warehouse = spark.conf.get("spark.sql.warehouse.dir", "file:" + os.path.abspath("spark-warehouse"))
         named = warehouse.rstrip("/") + "/_shared"
         spark.conf.set("spark.checkpoint.dir", named)
