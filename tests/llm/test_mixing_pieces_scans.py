@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from conftest import values
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from granthika.llm import boosting, mixing, pieces, scans, sentences as S, tokens
 
@@ -127,6 +128,48 @@ def test_edits():
     assert scans._edits("drurn", "drum") == (1, 0) and scans._edits("rea5ons", "reasons") == (1, 0) and scans._edits("abc", "xyz") == (9.0, 9.0) and scans._edits("vvindows", "windows") == (1, 0)
 
 
+def test_edits_of_long_words():
+    assert scans._edits("deferminisfi(", "deterministic") == (3, 0) and scans._edits("x" * 50_000 + "rn", "x" * 50_000 + "m") == (1, 0) and scans._edits("ab" * 500, "ba" * 500) == (0, 2)
+    assert scans._edits("a" * 3_000, "b" * 3_000) == (9.0, 9.0) and scans._edits("abcabcabcabc", "xyzxyzxyzxyz") == (9.0, 9.0)
+
+
+@pytest.mark.parametrize("least", [0.25, 0.4, 0.7])
+def test_alike_words_against_all_pairs(spark, least):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("aben") for _ in range(rng.randrange(2, 9))) for _ in range(150)} | {"a" * 12, "ab" * 6, "hyper" * 9 + "active"})
+    tokens = sorted({scans.misread_at_random(w, rng) for w in words} | {"aaaa", "b"})
+    a, b = spark.createDataFrame([(w, 1) for w in tokens], "token string, n_token long"), spark.createDataFrame([(w, 2) for w in words], "word string, n_word long")
+    want = sorted((t, w) for t in tokens for w in words if t != w and abs(len(t) - len(w)) <= 2 and scans.dice(t, w) >= least - 1e-12)
+    assert values(scans._like(a, b, [], least), "token", "word") == want == values(scans._like(a, b, [], least, hot=3), "token", "word")
+    both = scans._like(a.withColumn("book", F.lit("x")), b.withColumn("book", F.when(F.col("word") < "b", "x").otherwise("y")), ["book"], least)
+    assert values(both, "token", "word") == [(t, w) for t, w in want if w < "b"]
+
+
+def test_book_titles_keeps_every_repeated_line(spark):
+    long = "The Very Long And Winding Account Of Every Single Person Who Ever Crossed The Bridge"
+    lines = [f"The Red Map Number {x}" for x in ("One", "Two", "Three", "Four", "Five", "Six", "Seven")] + [long]
+    rows = [(i, "b", i, "Other", [*lines, "he went home again", "He Went Home."]) for i in range(3)]
+    df = spark.createDataFrame(rows, "import_id long, book_id string, chapter_no int, title string, paragraphs array<string>")
+    assert scans.book_titles(df).first().extra == sorted(lines)
+
+
+def test_long_running_header():
+    title = "The Very Long And Winding Account Of Every Single Person Who Ever Crossed The Bridge"
+    lines = scans.fit_lines([title, *(f"{a} {b} and {c}" for a in ("The Red Map", "The Old Bell", "The Lost Key") for b in ("of Home", "of War") for c in ("Payaki", "Sesiji", "Yukola"))])
+    assert scans.furniture_of(["It rained and the", title.upper(), "river rose. The end."], [title], lines) == [[(False, False)], [(True, False)], [(False, False)]]
+
+
+def test_line_pairs():
+    paragraphs = [f"Payaki gave {n} ropes to Sesiji near the well, and nobody saw it." for n in range(200)]
+    tears = scans.fit_tears(paragraphs)
+    p = tears.predict(np.array([scans.tear_features(a, b) for a, b in (("He left the", "dog alone."), ("He left.", "The dog slept."))]))
+    assert p[0] > 0.9 and p[1] < 0.3
+    counts = {f"w{a}{b}r{c}": 2 + ord(a) % 9 for a in "abcdefgh" for b in "abcdefgh" for c in ("d", "den", "dening")} | {f"{'salt'[:k]}{a}-{'white'[:m]}{a}": 2 + ord(a) % 9 for a in "tmlo" for k in (1, 2, 3) for m in (1, 3, 5)}
+    joins = scans.fit_joins(counts)
+    q = joins.predict(np.array([scans.join_features("salt", "white", 0, 7, 3, 3), scans.join_features("sol", "dier", 7, 0, 0, 0)]))
+    assert q[0] > 0.5 > q[1]
+
+
 def test_scans(spark):
     body = ["The soldier mended the lamp near the harbour.", "Nobody recorded the reasons for the journey.", "The children laughed when the lamp was lighted."]
     rows = [(i, f"b{i % 6}", i, "The Red Map and Payaki", False, [body[i % 3], body[(i + 1) % 3]] * 3) for i in range(60)]
