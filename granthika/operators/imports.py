@@ -15,7 +15,8 @@ def dehyphenate(text: Column) -> Column:
     def fix(done: Column, pair: Column) -> Column:
         joined = F.regexp_replace(pair, "- +", "")
         low = F.lower(joined)
-        return F.replace(done, pair, F.when(F.array_contains(known, low) | F.array_contains(known, F.rtrim(low, F.lit("s"))), joined).otherwise(F.regexp_replace(pair, "- +", "-")))
+        written = F.when(F.array_contains(known, low) | F.array_contains(known, F.rtrim(low, F.lit("s"))), joined).otherwise(F.regexp_replace(pair, "- +", "-"))
+        return F.regexp_replace(done, F.concat(F.lit("\\b"), pair, F.lit("\\b")), written)
 
     return F.aggregate(pairs, text, fix)
 
@@ -47,27 +48,35 @@ def headings_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.select(*keys, order, X.pattern_heading(F.col("text")).alias("heading")).where("heading is not null")
 
 
-def split_at(rows: DataFrame, headings: DataFrame, keys: list[str], order: str) -> DataFrame:
+def split_at(rows: DataFrame, headings: DataFrame, keys: list[str], order: str, starts: DataFrame | None = None) -> DataFrame:
     """(keys, order, chapter_no, heading): where the headings (keys, heading_no, heading) stand, searched forward only.
 
-    A heading is met by the first paragraph behind the one before that begins with its letters. One that is not found leaves
-    nothing to search for those behind it; they come out without place.
+    A heading is met by the first paragraph behind the one before that begins with its letters; a lone numeral by one that is
+    nothing else. One that is not found leaves nothing to search for those behind it; one without letters is passed over. Both come
+    out without place. ``starts`` (keys, start) names the first row to search, the first of all where it has none.
     """
-    texts = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, X.heading_key(F.col("text")).alias("key")))).alias("texts"))
-    wanted = headings.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("heading_no", "heading", X.heading_key(F.col("heading")).alias("key")))).alias("wanted"))
-    both = texts.join(wanted, keys)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<place:{rows.schema[order].dataType.simpleString()},no:int,heading:string>>").alias("found"))
+    letters, key = X.letters_key(F.col("text")), X.heading_key(F.col("heading"))
+    texts = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, F.substring(letters, 1, 24).alias("key"), F.length(letters).alias("size")))).alias("texts"))
+    numeral = F.trim("heading").rlike(X.ROMAN_ONLY)
+    wanted = headings.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("heading_no", "heading", key.alias("key"), numeral.alias("numeral")))).alias("wanted"))
+    both = wanted.join(texts, keys, "left")
+    both = both.withColumn("start", F.lit(0)) if starts is None else both.join(starts, keys, "left").withColumn("start", F.coalesce(F.col("start").cast("int"), F.lit(0)))
+    start = F.struct(F.col("start").alias("at"), F.array().cast(f"array<struct<place:{rows.schema[order].dataType.simpleString()},no:int,heading:string>>").alias("found"))
 
     def step(state: Column, want: Column) -> Column:
-        place = F.array_min(F.filter(F.transform("texts", lambda t, i: F.when((i >= state["at"]) & (want["key"] != "") & F.startswith(t["key"], want["key"]), i)), lambda i: i.isNotNull()))
+        place = F.array_min(F.filter(F.transform("texts", lambda t, i: F.when((i >= state["at"]) & F.startswith(t["key"], want["key"]) & (~want["numeral"] | (t["size"] == F.length(want["key"]))), i)), lambda i: i.isNotNull()))
         row = F.struct(F.try_element_at("texts", place + 1)[order].alias("place"), want["heading_no"].cast("int").alias("no"), want["heading"].alias("heading"))
-        return F.struct(F.coalesce(place + 1, F.size("texts")).alias("at"), F.concat(state["found"], F.array(row)).alias("found"))
+        lost = F.struct(F.lit(None).cast(rows.schema[order].dataType).alias("place"), want["heading_no"].cast("int").alias("no"), want["heading"].alias("heading"))
+        return F.when(want["key"] == "", F.struct(state["at"].alias("at"), F.concat(state["found"], F.array(lost)).alias("found"))).otherwise(
+            F.struct(F.coalesce(place + 1, F.size("texts")).alias("at"), F.concat(state["found"], F.array(row)).alias("found"))
+        )
 
     found = both.select(*keys, F.explode(F.aggregate("wanted", start, step, lambda s: s["found"])).alias("f"))
     return found.select(*keys, F.col("f.place").alias(order), F.col("f.no").alias("chapter_no"), F.col("f.heading").alias("heading"))
 
 
 def suspicious_openings(rows: DataFrame, keys: list[str], order: str, known: DataFrame) -> DataFrame:
-    """(keys, opening): first words of chapters in capitals that the ``known`` words (column word) lack."""
-    first = rows.groupBy(*keys).agg(F.min_by("text", order).alias("text")).select(*keys, F.regexp_extract("text", r"^\s*([A-Z0-9]{2,})(?![\p{L}\p{N}])", 1).alias("opening")).where("opening <> ''")
+    """(keys, opening): first words of chapters in capitals, whatever marks stand about them, that the ``known`` words (column word) lack."""
+    word = F.regexp_replace(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ")[0], "[^A-Za-z0-9]", "")
+    first = rows.groupBy(*keys).agg(F.min_by("text", order).alias("text")).select(*keys, word.alias("opening")).where("opening rlike '^[A-Z0-9]{2,}$'")
     return first.join(known.select(F.upper("word").alias("opening")).distinct(), "opening", "left_anti").select(*keys, "opening")
