@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 
 def glossary_key(term: Column) -> Column:
     """Lower case with single spaces."""
-    return F.regexp_replace(F.lower(F.trim(term)), r"(?U)\s+", " ")
+    return F.trim(F.regexp_replace(F.lower(term), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def longest_first(terms: Column) -> Column:
@@ -29,12 +29,10 @@ def force_terms(text: Column, terms: Column) -> Column:
 
 
 def mask_terms(text: Column, names: Column) -> Column:
-    """Protected names replaced by ⟦DNT0⟧, ⟦DNT1⟧ …, numbered in the order given."""
-    numbered = F.transform(names, lambda n, i: F.struct(n.alias("name"), F.concat(F.lit("⟦DNT"), i.cast("string"), F.lit("⟧")).alias("mask")))
-    return F.aggregate(numbered, text, lambda done, t: F.regexp_replace(done, _literal(t["name"]), t["mask"]))
+    """Protected names replaced by ⟦DNT0⟧, ⟦DNT1⟧ …; ``names`` are structs (no, name) in the order in which they are looked for."""
+    return F.aggregate(names, text, lambda done, t: F.regexp_replace(done, _literal(t["name"]), F.concat(F.lit("⟦DNT"), t["no"].cast("string"), F.lit("⟧"))))
 
 
 def unmask_terms(text: Column, names: Column) -> Column:
     """Masks replaced by the names as listed."""
-    numbered = F.transform(names, lambda n, i: F.struct(n.alias("name"), F.concat(F.lit("⟦DNT"), i.cast("string"), F.lit("⟧")).alias("mask")))
-    return F.aggregate(numbered, text, lambda done, t: F.replace(done, t["mask"], t["name"]))
+    return F.aggregate(names, text, lambda done, t: F.replace(done, F.concat(F.lit("⟦DNT"), t["no"].cast("string"), F.lit("⟧")), t["name"]))

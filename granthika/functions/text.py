@@ -12,6 +12,16 @@ FRONT_MATTER = r"(?i)^(?:the\s+)?(?:preface|introduction|table\s+of\s+contents|c
 PAGE_NUMBER = r"^[\divxlIl]{1,4}$"
 QUOTE_JUNK = r"''|'\^|\^'|\*'|'<|'\*"
 END_PUNCTUATION = ".!?\"'”’:;)—"
+CHAPTER_MARKER = r"(?i)^((?:CHAPTER|CHAP\.?)\s+(?:[IVXL]+|\d+)\.?)(?:\s+\S.*)?$"
+BOOK_MARKER = r"(?i)^((?:BOOK|PART)\s+\d+\.?)(?:\s+\S.*)?$"
+ROMAN_ONLY = r"^[IVXL]+\.?$"
+CONTENTS_HEADING = r"(?i)^(?:table\s+of\s+contents|contents)$"
+CONTENTS_ENTRY = r"^(.{2,}?)\s+[0-9ivxlIVXL]{1,5}\.?$"
+EMOTION_PHRASES = {
+    "Command": "a commanding tone", "Anger": "an angry tone", "Narration": "a clear narration tone", "Conversation": "a conversational tone", "Disgust": "a disgusted tone",
+    "Fear": "a fearful tone", "Happy": "a happy tone", "Neutral": "a neutral tone", "Proper Noun": "a clear, deliberate tone", "News": "a news-reading tone",
+    "Sad": "a sad tone", "Surprise": "a surprised tone",
+}
 YEAR = r"(?<![\p{L}\p{N}_])(1[5-9][0-9][0-9]|20[0-9][0-9])(?![\p{L}\p{N}_])"
 COPYRIGHT = r"(?i)copyright|©|\(c\)\s*[0-9]{4}|all rights reserved"
 EMOTIONS = ("Neutral", "Happy", "Sad", "Anger", "Fear", "Surprise", "Disgust", "Command", "Conversation", "Narration", "News", "Proper Noun")
@@ -100,9 +110,9 @@ def roman_heading(text: Column) -> Column:
 def pattern_heading(text: Column) -> Column:
     """The marker of "CHAPTER II …", "PART 3 …" or a lone numeral; null for other text."""
     bare = F.trim(text)
-    chapter = F.regexp_extract(bare, r"(?i)^((?:CHAPTER|CHAP\.?)\s+(?:[IVXL]+|[0-9]+)\.?)(?:\s+\S.*)?$", 1)
-    part = F.regexp_extract(bare, r"(?i)^((?:BOOK|PART)\s+[0-9]+\.?)(?:\s+\S.*)?$", 1)
-    roman = F.when(bare.rlike(r"^[IVXL]+\.?$"), F.rtrim(bare, F.lit(".")))
+    chapter = F.regexp_extract(bare, CHAPTER_MARKER, 1)
+    part = F.regexp_extract(bare, BOOK_MARKER, 1)
+    roman = F.when(bare.rlike(ROMAN_ONLY), F.rtrim(bare, F.lit(".")))
     return F.coalesce(F.nullif(F.trim(chapter), F.lit("")), F.nullif(F.trim(part), F.lit("")), roman)
 
 
@@ -158,6 +168,46 @@ def normal_emotion(tag: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(F.trim(tag))), F.lit("Narration"))
 
 
+def emotion_phrase(tag: Column) -> Column:
+    """How a voice that takes a style in words is told of an emotion; unknown ones are narrated."""
+    table = F.create_map(*[F.lit(x) for pair in EMOTION_PHRASES.items() for x in pair])
+    return F.try_element_at(table, normal_emotion(tag))
+
+
+def edition_year(date: Column) -> Column:
+    """The year of a date that is nothing but four digits; null for all else, as a date with day and month tells when a file was made."""
+    return F.when(F.trim(date).rlike("^[0-9]{4}$"), F.trim(date).cast("int"))
+
+
+def preview_label(done: Column, total: Column) -> Column:
+    return F.format_string("Preview: %d of %d paragraphs translated", done, total)
+
+
+def archive_path(raw: Column) -> Column:
+    """The path inside the archive that a checker's message names behind the archive's own path, with forward slashes."""
+    return F.replace(F.regexp_replace(raw, r"(?i)^.*?\.epub[/\\](.*)$", "$1"), F.lit("\\"), F.lit("/"))
+
+
+def clean_title(title: Column, fallback: Column, prefix: str, suffix: str, mention: str) -> Column:
+    """A title without a library's ``prefix`` and ``suffix`` (patterns); ``fallback`` where it still has the ``mention``."""
+    bare = F.regexp_replace(F.regexp_replace(title, f"(?i)^(?:{prefix})", ""), suffix, "")
+    return F.when(F.contains(F.lower(bare), F.lit(mention.lower())), fallback).otherwise(bare)
+
+
+def mentions(text: Column, word: str, around: int = 80) -> Column:
+    """For each place where ``word`` stands in the text, whatever the case, the ``around`` characters in whose middle it is."""
+    n, half = len(word), around // 2
+    pieces = F.split(F.lower(text), word.lower())
+    lengths = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda x: F.length(x))
+    starts = F.aggregate(lengths, F.array().cast("array<int>"), lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)) + n, F.lit(0)) + x)))
+
+    def cut(at: Column) -> Column:
+        end = F.least(F.length(text), F.greatest(F.lit(0), at + n // 2 - half) + around)
+        return F.substring(text, F.greatest(F.lit(0), end - around) + 1, F.lit(around))
+
+    return F.transform(starts, cut)
+
+
 def split_sentences(text: Column, language: str) -> Column:
     """Sentences by end mark and space; a piece that ends in an abbreviation takes the next one on.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from granthika.functions.glossary import glossary_key
 
@@ -34,7 +34,7 @@ def phrases(texts: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
 def repeated_capitals(texts: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """(keys, term, frequency): capitalised words that don't begin their sentence and belong to no accepted phrase."""
     sentence = F.explode(F.split("text", r"(?<=[.!?])\s+")).alias("sentence")
-    words = texts.select(*keys, sentence).select(*keys, F.slice(F.regexp_extract_all("sentence", F.lit("([A-Za-z]+)"), F.lit(1)), 2, 1_000_000).alias("words"))
+    words = texts.select(*keys, sentence).select(*keys, F.regexp_extract_all("sentence", F.lit("([A-Za-z]+)"), F.lit(1)).alias("words")).withColumn("words", F.slice("words", F.lit(2), F.size("words")))
     named = words.select(*keys, F.explode("words").alias("term")).where("term rlike '^[A-Z]' and term <> upper(term) and length(term) > 1")
     taken = phrases(texts, keys, least).select(*keys, F.explode(F.split("term", r"\s+")).alias("term")).distinct()
     counted = named.groupBy(*keys, "term").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least)
@@ -86,6 +86,35 @@ def known_words(texts: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
     return texts.select(*keys, word).groupBy(*keys, F.lower("word").alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def relevant_terms(texts: DataFrame, glossary: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of a text and a term of its key (columns ``on``) that it contains, whatever the case; matched by key, then by content."""
-    return texts.join(glossary, on).where(F.contains(F.lower("text"), F.lower("source_term")))
+def _trigrams(word: Column) -> Column:
+    """The distinct runs of three characters of a word; a shorter one is its own."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - 2, F.lit(1))), lambda i: F.substring(word, i, F.lit(3)))
+    return F.array_distinct(runs)
+
+
+def _pieces(word: Column) -> Column:
+    """What a word can be found by: its runs of one, two and three characters."""
+
+    def runs(size: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - size + 1, F.lit(1))), lambda i: F.substring(word, i, F.lit(size)))
+
+    return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
+
+
+def relevant_terms(texts: DataFrame, glossary: DataFrame, on: list[str], key: list[str]) -> DataFrame:
+    """Pairs of a text and a term of its key (columns ``on``) that it contains, whatever the case; ``key`` tells the texts of one ``on`` apart.
+
+    A text that contains a term holds the term's longest word inside one of its own. So the distinct words of the texts meet the
+    longest words of the terms by these's rarest run of three characters, the texts that have such a word meet the term, and what
+    they say is compared last. No text meets a term with which it shares no such word. A blank term is in no text.
+    """
+    blank = r"(?U)\s+"
+    words = texts.select(*on, *key, F.explode(F.array_distinct(F.split(F.lower("text"), blank))).alias("_word")).where("_word <> ''").distinct()
+    terms = glossary.withColumn("_piece", F.array_max(F.transform(F.split(F.lower("source_term"), blank), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]).where("_piece <> ''")
+    pieces = terms.select(*on, "_piece").distinct().select(*on, "_piece", F.explode(_trigrams(F.col("_piece"))).alias("_run"))
+    rarity = pieces.groupBy("_run").agg(F.count("*").alias("_often"))
+    anchors = pieces.join(rarity, "_run").groupBy(*on, "_piece").agg(F.min_by("_run", F.struct("_often", "_run")).alias("_run"))
+    vocabulary = words.select(*on, "_word").distinct().select(*on, "_word", F.explode(_pieces(F.col("_word"))).alias("_run"))
+    holding = vocabulary.join(anchors, [*on, "_run"]).where(F.contains("_word", F.col("_piece"))).select(*on, "_word", "_piece")
+    met = words.join(holding, [*on, "_word"]).select(*on, *key, "_piece").distinct().join(terms, [*on, "_piece"]).drop("_piece")
+    return texts.join(met, [*on, *key]).where(F.contains(F.lower("text"), F.lower("source_term")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from granthika.functions import text as X
 
@@ -31,21 +31,52 @@ def preview(paragraphs: DataFrame, most: int) -> DataFrame:
     return per.groupBy("book_id").agg(F.sum("kept").alias("translated"), F.sum("all").alias("total"), F.bool_or(F.col("kept") < F.col("all")).alias("preview"))
 
 
-def edition_notes(paragraphs: DataFrame, this_year: int, window_chapters: int = 3, window_paragraphs: int = 60, imprint: int = 120) -> DataFrame:
-    """(book_id, front_matter, recent_years, notices, needs_review): what the opening says of its edition.
+def edition_notes(
+    paragraphs: DataFrame, this_year: int, window_chapters: int = 3, window_paragraphs: int = 60, imprint: int = 120, heading: int = 60, most: int = 5, dates: DataFrame | None = None,
+) -> DataFrame:
+    """(book_id, front_matter, recent_years, notices, recent_notice, edition_year, needs_review): what a book says of its edition.
 
-    Years count in short lines only, from ``this_year`` - 95 on.
+    ``paragraphs``: book_id, chapter_ord, chapter_id, chapter_title, pos, text; ``dates`` (book_id, date) the package's dates. Looked at are the first
+    paragraphs of the first chapters, and all of a chapter whose title names front matter. ``front_matter``: the kinds of titles and
+    short paragraphs, as first met. ``recent_years``: (label, year, snippet) of the first ``most`` short paragraphs with a year of the last 95,
+    one year each; ``notices``: (label, snippet) of the first ``most`` copyright notices. A notice is recent if the latest year of all
+    notices is, or, where none has a year, as it stands. Recent years, a recent notice or a recent edition year (four
+    digits alone) need a review; headings don't.
     """
     cutoff = this_year - 95
-    opening = paragraphs.where((F.col("chapter_ord") <= window_chapters) & (F.col("pos") < window_paragraphs))
-    short = F.length("text") <= imprint
-    recent = F.when(short, F.filter(X.years(F.col("text")), lambda y: y >= cutoff)).otherwise(F.array().cast("array<int>"))
-    kind = F.when(F.length("text") <= 60, X.front_matter_kind(F.col("text")))
-    seen = opening.select("book_id", kind.alias("kind"), recent.alias("recent"), F.col("text").rlike(X.COPYRIGHT).alias("notice"))
-    return seen.groupBy("book_id").agg(
-        F.array_sort(F.collect_set("kind")).alias("front_matter"), F.sum(F.size("recent")).alias("recent_years"), F.count_if("notice").alias("notices"),
-        F.bool_or((F.size("recent") > 0) | F.col("kind").isNotNull()).alias("needs_review"),
+    chapter = Window.partitionBy("book_id").orderBy("chapter_ord")
+    titled = paragraphs.withColumn("_title_kind", X.front_matter_kind(F.col("chapter_title"))).withColumn("_chapter", F.dense_rank().over(chapter))
+    opening = titled.where((F.col("_title_kind").isNotNull()) | ((F.col("_chapter") <= window_chapters) & (F.col("pos") < window_paragraphs)))
+    recent = F.filter(X.years(F.col("text")), lambda y: (y >= cutoff) & (y <= this_year))
+    year = F.when(F.length("text") <= imprint, F.try_element_at(recent, F.lit(1)))
+    notice = F.col("text").rlike(X.COPYRIGHT)
+    noticed = F.when(notice, F.filter(X.years(F.col("text")), lambda y: y <= this_year))
+    place = F.struct("chapter_ord", "pos")
+    seen = opening.select(
+        "book_id", place.alias("place"), F.coalesce("chapter_title", "chapter_id").alias("label"), X.snippet(F.col("text")).alias("snippet"), year.alias("year"), notice.alias("notice"), noticed.alias("noticed"),
+        F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col("_title_kind").alias("kind")), F.struct(F.lit(1).alias("n"), F.when(F.length("text") <= heading, X.front_matter_kind(F.col("text"))).alias("kind")))).alias("k"),
+    ).select("*", F.col("k.kind").alias("kind"), F.col("k.n").alias("n")).drop("k")
+    kinds = seen.where("kind is not null").groupBy("book_id", "kind").agg(F.min(F.struct("place", "n")).alias("first"))
+    front = kinds.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "kind"))), lambda x: x["kind"]).alias("front_matter"))
+    once = seen.where("n = 1")
+    found = once.where("year is not null").withColumn("k", F.row_number().over(Window.partitionBy("book_id").orderBy("place"))).where(F.col("k") <= most)
+    years = found.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("place", "label", "year", "snippet"))).alias("y"))
+    told = once.where("notice").withColumn("k", F.row_number().over(Window.partitionBy("book_id").orderBy("place")))
+    notices = told.groupBy("book_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("k") <= most, F.struct("place", "label", "snippet")))).alias("c"),
+        F.coalesce(F.max(F.array_max("noticed")) >= cutoff, F.bool_or(F.size("noticed") == 0)).alias("recent_notice"),
     )
+    books = paragraphs.select("book_id").distinct()
+    dated = books.withColumn("edition_year", F.lit(None).cast("int")) if dates is None else books.join(dates.groupBy("book_id").agg(F.min(X.edition_year(F.col("date"))).alias("edition_year")), "book_id", "left")
+    out = dated.join(front, "book_id", "left").join(years, "book_id", "left").join(notices, "book_id", "left")
+    none_text, none_year, none_notice = F.array().cast("array<string>"), F.array().cast("array<struct<label:string,year:int,snippet:string>>"), F.array().cast("array<struct<label:string,snippet:string>>")
+    listed = out.select(
+        "book_id", F.coalesce("front_matter", none_text).alias("front_matter"),
+        F.coalesce(F.transform("y", lambda x: F.struct(x["label"].alias("label"), x["year"].alias("year"), x["snippet"].alias("snippet"))), none_year).alias("recent_years"),
+        F.coalesce(F.transform("c", lambda x: F.struct(x["label"].alias("label"), x["snippet"].alias("snippet"))), none_notice).alias("notices"),
+        F.coalesce("recent_notice", F.lit(False)).alias("recent_notice"), "edition_year",
+    )
+    return listed.withColumn("needs_review", (F.size("recent_years") > 0) | F.col("recent_notice") | F.coalesce(F.col("edition_year") >= cutoff, F.lit(False)))
 
 
 def problem_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from granthika.engines import interfaces as E
 from granthika.functions import text as X, vectors as V
 from granthika.functions.glossary import glossary_key
 from granthika.operators import ordered as O, quality as Q
+from granthika.operators.candidates import relevant_terms
 from granthika.session import settle
 
 
@@ -56,7 +57,8 @@ def translate(paragraphs: DataFrame, plan: BookPlan, glossary: DataFrame | None
     ready = drafted.join(context, [*keys, "batch_no"])
     if glossary is not None:
         pairs = glossary.where("target_term is not null").select("book_id", glossary_key(F.col("source_term")).alias("term"), "target_term").groupBy("book_id", "term").agg(F.max("target_term").alias("target"))
-        hits = todo.select(*keys, "batch_no", "source").join(pairs, "book_id").where(F.contains(F.lower("source"), F.col("term")))
+        known = pairs.select("book_id", F.col("term").alias("source_term"), "term", "target")
+        hits = relevant_terms(todo.select(*keys, "index", "batch_no", F.col("source").alias("text")), known, ["book_id"], ["chapter_id", "index"])
         terms = hits.groupBy(*keys, "batch_no").agg(F.map_from_entries(F.collect_set(F.struct("term", "target"))).alias("terms"))
         ready = ready.join(terms, [*keys, "batch_no"], "left")
     wanted = ready.where("needed")

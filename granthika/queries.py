@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from granthika.functions import glossary, text as X, vectors as V
-from granthika.operators import candidates, chapters, imports, ordered, quality
+from granthika.operators import assembly, candidates, chapters, imports, ordered, quality
 from granthika.plans import book
 from granthika.session import table
 from granthika.streaming import arrivals
@@ -37,12 +37,29 @@ def acronym_candidates(spark: SparkSession, base: str) -> DataFrame:
     return candidates.acronyms(table(spark, base, "documents").where("text is not null"), ["source"])
 
 
-@query("phrase_candidates")
+_TOKENS = r"""tokens as (select k_id, {key}, unnest(range(1, len(t) + 1)) as i, unnest(t) as tok from (select row_number() over () as k_id, {key}, regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_]+') as t from paragraphs where text is not null)),
+    flags as (select *, regexp_full_match(tok, '[A-Z][a-zA-Z]*') as good, regexp_full_match(tok, '\s+') as gap, lag(tok, 2) over w as two_back, lag(tok) over w as back from tokens window w as (partition by k_id order by i)),
+    runs as (select *, sum((not good and not gap or good and not coalesce(regexp_full_match(back, '\s+') and regexp_full_match(two_back, '[A-Z][a-zA-Z]*'), false))::int) over (partition by k_id order by i) as run from flags),
+    spans as (select k_id, {key}, run, min(i) filter (good) as a, max(i) filter (good) as b, count_if(good) as n from runs group by all having count_if(good) >= 2),
+    found as (select s.{key}, string_agg(r.tok, '' order by r.i) as term from spans s join runs r on r.k_id = s.k_id and r.i between s.a and s.b group by s.k_id, s.run, s.{key}),
+    phrases as (select {key}, term, count(*) as frequency from (select {key}, case when list_contains([{leading}], split_part(term, ' ', 1)) and instr(term, ' ') > 0 and substr(term, instr(term, ' ') + 1) <> '' then substr(term, instr(term, ' ') + 1) else term end as term from found) group by all having count(*) >= 3)""".format(key="book_id", leading=", ".join(f"'{w}'" for w in candidates.LEADING))
+
+
+@query("phrase_candidates", f"with {_TOKENS} select book_id, term, frequency from phrases")
 def phrase_candidates(spark: SparkSession, base: str) -> DataFrame:
     return candidates.phrases(table(spark, base, "paragraphs").where("text is not null"), ["book_id"])
 
 
-@query("glossary_candidates")
+@query(
+    "glossary_candidates",
+    rf"""with {_TOKENS},
+    acronyms as (select book_id, tok as term, count(*) as frequency from tokens where regexp_full_match(tok, '[A-Z]{{2,6}}') group by all having count(*) >= 3),
+    sentences as (select book_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) as s from paragraphs where text is not null),
+    words as (select book_id, unnest(regexp_extract_all(s, '[A-Za-z]+')[2:]) as term from sentences),
+    taken as (select distinct book_id, unnest(string_split_regex(term, '\s+')) as term from phrases),
+    named as (select book_id, term, count(*) as frequency from words where regexp_matches(term, '^[A-Z]') and term <> upper(term) and length(term) > 1 group by all having count(*) >= 3)
+    select *, 'acronym' as term_type from acronyms union all select *, 'proper_noun_phrase' from phrases union all select *, 'repeated_capitalized' from named anti join taken using (book_id, term)""",
+)
 def glossary_candidates(spark: SparkSession, base: str) -> DataFrame:
     return candidates.glossary_candidates(table(spark, base, "paragraphs").where("text is not null"), ["book_id"])
 
@@ -56,7 +73,7 @@ def known_words(spark: SparkSession, base: str) -> DataFrame:
     return candidates.known_words(table(spark, base, "paragraphs").where("text is not null"), ["book_id"])
 
 
-_KEY = r"regexp_replace(lower(trim(source_term)), '[\s\p{Z}]+', ' ', 'g')"
+_KEY = r"array_to_string(list_filter(string_split_regex(lower(source_term), '[\s\p{Z}]+'), lambda w: w <> ''), ' ')"
 
 
 @query(
@@ -77,26 +94,52 @@ def glossary_merge(spark: SparkSession, base: str) -> DataFrame:
 )
 def glossary_relevant(spark: SparkSession, base: str) -> DataFrame:
     terms = table(spark, base, "glossary_terms").where("source_term is not null").select("book_id", glossary.glossary_key(F.col("source_term")).alias("source_term")).distinct()
-    found = candidates.relevant_terms(table(spark, base, "paragraphs").select("book_id", "para_id", "text"), terms, ["book_id"])
+    found = candidates.relevant_terms(table(spark, base, "paragraphs").select("book_id", "para_id", "text"), terms, ["book_id"], ["para_id"])
     return found.select("book_id", "para_id", F.col("source_term").alias("term"))
 
 
-@query("glossary_forced")
+_APPROVED = f"""pairs as (select book_id, trim(source_term) as source, trim(target_term) as target from (select *, row_number() over (partition by book_id, {_KEY} order by updated_at desc, id desc) as k
+        from glossary_terms where source_term is not null and target_term is not null and status = 'approved') where k = 1),
+    listed as (select *, row_number() over (partition by book_id order by length(source) desc, source, target) as no from pairs)"""
+
+
+@query(
+    "glossary_forced",
+    f"""with recursive {_APPROVED},
+    texts as (select book_id, para_id, text, (select count(*) from listed l where l.book_id = p.book_id) as n from paragraphs p where text is not null),
+    walk as (select book_id, para_id, text as forced, 0::bigint as done, n from texts where n > 0
+        union all select w.book_id, w.para_id, regexp_replace(w.forced, regexp_escape(l.source), replace(l.target, chr(92), chr(92) || chr(92)), 'gi'), w.done + 1, w.n from walk w join listed l on l.book_id = w.book_id and l.no = w.done + 1)
+    select para_id, forced from walk where done = n""",
+)
 def glossary_forced(spark: SparkSession, base: str) -> DataFrame:
     pairs = table(spark, base, "glossary_terms").where("source_term is not null and target_term is not null and status = 'approved'")
     last = ordered.first_delivery(pairs.withColumn("key", glossary.glossary_key(F.col("source_term"))), ["book_id", "key"], [F.desc("updated_at"), F.desc("id")])
-    terms = last.groupBy("book_id").agg(glossary.longest_first(F.collect_list(F.struct(F.trim("source_term").alias("source"), F.trim("target_term").alias("target")))).alias("terms"))
-    rows = table(spark, base, "paragraphs").where("text is not null").join(terms, "book_id")
-    return rows.select("para_id", glossary.force_terms(F.col("text"), F.col("terms")).alias("forced"))
+    terms = last.select("book_id", F.trim("source_term").alias("source_term"), F.trim("source_term").alias("source"), F.trim("target_term").alias("target"))
+    rows = table(spark, base, "paragraphs").where("text is not null").select("book_id", "para_id", "text").join(terms.select("book_id").distinct(), "book_id", "left_semi")
+    hits = candidates.relevant_terms(rows, terms, ["book_id"], ["para_id"]).groupBy("para_id").agg(glossary.longest_first(F.collect_list(F.struct("source", "target"))).alias("terms"))
+    forced = F.when(F.col("terms").isNull(), F.col("text")).otherwise(glossary.force_terms(F.col("text"), F.col("terms")))
+    return rows.join(hits, "para_id", "left").select("para_id", forced.alias("forced"))
 
 
-@query("glossary_masked")
+@query(
+    "glossary_masked",
+    """with recursive names as (select distinct book_id, trim(source_term) as name from glossary_terms where source_term is not null),
+    listed as (select *, row_number() over (partition by book_id order by length(name) desc, name) - 1 as no from names),
+    texts as (select book_id, para_id, text, (select count(*) from listed l where l.book_id = p.book_id) as n from paragraphs p where text is not null),
+    walk as (select book_id, para_id, text as masked, 0::bigint as done, n from texts where n > 0
+        union all select w.book_id, w.para_id, regexp_replace(w.masked, regexp_escape(l.name), '⟦DNT' || l.no || '⟧', 'gi'), w.done + 1, w.n from walk w join listed l on l.book_id = w.book_id and l.no = w.done),
+    back as (select book_id, para_id, masked, masked as restored, 0::bigint as done, n from walk where done = n
+        union all select b.book_id, b.para_id, b.masked, replace(b.restored, '⟦DNT' || l.no || '⟧', l.name), b.done + 1, b.n from back b join listed l on l.book_id = b.book_id and l.no = b.done)
+    select para_id, masked, restored from back where done = n""",
+)
 def glossary_masked(spark: SparkSession, base: str) -> DataFrame:
-    names = table(spark, base, "glossary_terms").where("source_term is not null").select("book_id", F.trim("source_term").alias("source")).distinct()
-    listed = names.groupBy("book_id").agg(glossary.longest_first(F.collect_list(F.struct("source"))).alias("terms"))
-    rows = table(spark, base, "paragraphs").where("text is not null").join(listed.withColumn("names", F.col("terms.source")), "book_id")
-    masked = glossary.mask_terms(F.col("text"), F.col("names"))
-    return rows.select("para_id", masked.alias("masked"), glossary.unmask_terms(masked, F.col("names")).alias("restored"))
+    names = table(spark, base, "glossary_terms").where("source_term is not null").select("book_id", F.trim("source_term").alias("name")).distinct()
+    number = F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc(F.length("name")), "name")) - 1
+    terms = names.select("book_id", F.col("name").alias("source_term"), "name", number.alias("no"))
+    rows = table(spark, base, "paragraphs").where("text is not null").select("book_id", "para_id", "text").join(terms.select("book_id").distinct(), "book_id", "left_semi")
+    hits = candidates.relevant_terms(rows, terms, ["book_id"], ["para_id"]).groupBy("para_id").agg(F.array_sort(F.collect_list(F.struct("no", "name"))).alias("names"))
+    marked = rows.join(hits, "para_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<struct<no:int,name:string>>"))).withColumn("masked", glossary.mask_terms(F.col("text"), F.col("names")))
+    return marked.select("para_id", "masked", glossary.unmask_terms(F.col("masked"), F.col("names")).alias("restored"))
 
 
 _ROMAN = "M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})"
@@ -125,7 +168,9 @@ def text_forms(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "marked_texts",
     r"""select para_id, trim(regexp_replace(regexp_replace(marked_text, '⟦/?[0-9]+⟧', '', 'g'), '[\s\p{Z}]+', ' ', 'g')) as plain,
-    len(regexp_extract_all(marked_text, '⟦/?[0-9]+⟧'))::int as marks, true as valid from paragraphs where marked_text is not null""",
+    len(regexp_extract_all(marked_text, '⟦/?[0-9]+⟧'))::int as marks,
+    len(regexp_extract_all(marked_text, '⟦[0-9]+⟧')) = len(list_distinct(regexp_extract_all(marked_text, '⟦[0-9]+⟧'))) and list_sort(regexp_extract_all(marked_text, '⟦([0-9]+)⟧', 1)) = list_sort(regexp_extract_all(marked_text, '⟦/([0-9]+)⟧', 1))
+    and regexp_full_match(regexp_replace(regexp_replace(regexp_replace(array_to_string(regexp_extract_all(marked_text, '⟦/?[0-9]+⟧'), ''), '⟦[0-9]+⟧⟦/[0-9]+⟧', '', 'g'), '⟦[0-9]+⟧⟦/[0-9]+⟧', '', 'g'), '⟦[0-9]+⟧⟦/[0-9]+⟧', '', 'g'), '') as valid from paragraphs where marked_text is not null""",
 )
 def marked_texts(spark: SparkSession, base: str) -> DataFrame:
     m = F.col("marked_text")
@@ -277,9 +322,28 @@ def edition_years(spark: SparkSession, base: str) -> DataFrame:
     return rows.groupBy("book_id").agg(F.count("*").alias("years"), F.count_if(F.col("year") >= 1929).alias("recent"), F.max("year").alias("last_year"))
 
 
-@query("edition_notes")
+_KINDS = "map {" + ", ".join("'{}': '{}'".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in X.FRONT_MATTER_KINDS.items()) + "}"
+_BARE = r"""lower(trim(rtrim(regexp_replace(trim(regexp_replace({0}, '[\s\p{{Z}}]+', ' ', 'g')), '[‘’]', '''', 'g'), '.:;,·…!?"''“”')))"""
+
+
+@query(
+    "edition_notes",
+    rf"""with p as (select *, dense_rank() over (partition by book_id order by chapter_ord) as nth, {_KINDS}[{_BARE.format("chapter_title")}] as title_kind from {_DELIVERED} where text is not null),
+    o as (select *, list_transform(list_filter(string_split_regex(text, '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '1[5-9][0-9][0-9]|20[0-9][0-9]')), lambda w: w::int) as years from p where title_kind is not null or (nth <= 3 and pos < 60)),
+    k as (select book_id, chapter_ord, pos, 0 as n, title_kind as kind from o union all select book_id, chapter_ord, pos, 1, {_KINDS}[{_BARE.format("text")}] from o where length(text) <= 60),
+    f as (select book_id, kind, min((chapter_ord, pos, n)) as first from k where kind is not null group by all),
+    y as (select book_id, chapter_ord, pos, list_filter(years, lambda y: y >= 1929 and y <= 2024)[1] as year from o where length(text) <= 120),
+    y5 as (select *, row_number() over (partition by book_id order by chapter_ord, pos) as k from y where year is not null),
+    c as (select book_id, list_filter(years, lambda y: y <= 2024) as years from o where regexp_matches(text, '(?i)copyright|©|\(c\)\s*[0-9]{{4}}|all rights reserved')),
+    cc as (select book_id, count(*) as n, coalesce(max(list_max(years)) >= 1929, bool_or(len(years) = 0)) as recent from c group by book_id)
+    select b.book_id, coalesce((select string_agg(kind, '|' order by first) from f where f.book_id = b.book_id), '') as front_matter, coalesce((select string_agg(year::varchar, '|' order by k) from y5 where y5.book_id = b.book_id and k <= 5), '') as years,
+    least(coalesce(cc.n, 0), 5)::int as notices, coalesce(recent, false) as recent_notice, coalesce(recent, false) or exists (select 1 from y5 where y5.book_id = b.book_id) as needs_review
+    from (select distinct book_id from p) b left join cc using (book_id)""",
+)
 def edition_notes(spark: SparkSession, base: str) -> DataFrame:
-    return chapters.edition_notes(delivered(spark, base).where("text is not null"), 2024)
+    notes = chapters.edition_notes(delivered(spark, base).where("text is not null"), 2024)
+    years = F.array_join(F.transform("recent_years", lambda y: y["year"].cast("string")), "|")
+    return notes.select("book_id", F.array_join("front_matter", "|").alias("front_matter"), years.alias("years"), F.size("notices").alias("notices"), "recent_notice", "needs_review")
 
 
 _LATEST = "(select * from (select *, row_number() over (partition by book_id, chapter, paragraph_index order by checked_at desc, qa_id desc) as k from qa_results) where k = 1)"
@@ -303,10 +367,10 @@ def qa_summary(spark: SparkSession, base: str) -> DataFrame:
     return quality.summary(quality.classify(latest), ["book_id"]).drop("mean_score")
 
 
-@query("qa_means")
+@query("qa_means", f"select book_id, round(avg(similarity_score), 4) as mean_score from {_LATEST} group by book_id")
 def qa_means(spark: SparkSession, base: str) -> DataFrame:
     latest = quality.latest_check(table(spark, base, "qa_results"), ["book_id", "chapter", "paragraph_index"])
-    return quality.summary(quality.classify(latest), ["book_id"]).select("book_id", "mean_score")
+    return quality.summary(quality.classify(latest), ["book_id"]).select("book_id", F.round("mean_score", 4).alias("mean_score"))
 
 
 @query(
@@ -371,7 +435,10 @@ def batch_coordinates(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "checkpoint_chain",
-    """with recursive s as (select distinct book_id, chapter_id, paragraph_start as a, paragraph_end as b from translated_batches where paragraph_end > paragraph_start),
+    """with recursive now as (select book_id, chapter_id, pos, min(text) as text, count(*) as n from paragraphs group by all),
+    r as (select batch_id, book_id, chapter_id, paragraph_start as a, paragraph_end as b, unnest(range(0, len(rows))) as k, unnest(rows).source as source from translated_batches),
+    s as (select distinct r.book_id, r.chapter_id, a, b from r left join now on now.book_id = r.book_id and now.chapter_id = r.chapter_id and now.pos = a + k
+        group by batch_id, r.book_id, r.chapter_id, a, b having b > a and count(*) = b - a and bool_and(coalesce(now.text = source and now.n = 1, false))),
     f as (select book_id, chapter_id, a, min(b) as b from s group by all),
     walk as (select distinct book_id, chapter_id, 0 as reach, 0 as steps from translated_batches
         union all select walk.book_id, walk.chapter_id, f.b, steps + 1 from walk join f on walk.book_id = f.book_id and walk.chapter_id = f.chapter_id and f.a = walk.reach)
@@ -379,8 +446,10 @@ def batch_coordinates(spark: SparkSession, base: str) -> DataFrame:
     join (select book_id, chapter_id, max(paragraph_end) as final from translated_batches group by all) using (book_id, chapter_id) group by book_id, chapter_id""",
 )
 def checkpoint_chain(spark: SparkSession, base: str) -> DataFrame:
-    spans = table(spark, base, "translated_batches").select("book_id", "chapter_id", F.col("paragraph_start").alias("start"), F.col("paragraph_end").alias("end"))
-    return ordered.checkpoint_chain(spans, ["book_id", "chapter_id"])
+    keys = ["book_id", "chapter_id"]
+    saved = table(spark, base, "translated_batches").select(*keys, F.col("paragraph_start").alias("start"), F.col("paragraph_end").alias("end"), "rows")
+    fitting = ordered.fitting_spans(saved, table(spark, base, "paragraphs").select(*keys, "pos", "text"), keys)
+    return ordered.checkpoint_chain(fitting.select(*keys, "start", "end", "fits"), keys)
 
 
 @query(
@@ -434,7 +503,7 @@ def problem_diff(spark: SparkSession, base: str) -> DataFrame:
 )
 def target_scripts(spark: SparkSession, base: str) -> DataFrame:
     languages = table(spark, base, "target_languages").select("key")
-    rows = table(spark, base, "translated_batches").join(F.broadcast(languages.limit(1000)), F.col("target_language") == F.col("key"))
+    rows = table(spark, base, "translated_batches").select("target_language", "rows").join(languages, F.col("target_language") == F.col("key"))  # Spark broadcasts the languages if they are few
     return rows.groupBy("key").agg(F.count("*").alias("batches"), F.sum(F.size("rows")).alias("rows"))
 
 
@@ -468,6 +537,39 @@ def running_headers(spark: SparkSession, base: str) -> DataFrame:
     return heads.groupBy("book_id", X.letters_key(F.col("line")).alias("key")).agg(F.count("*").alias("n")).where("n >= 3")
 
 
+_SCANNED = r"""l as (select import_id, row_number() over () as g, place, line_no, trim(regexp_replace(line, '[\s\p{Z}]+', ' ', 'g')) as line from (select import_id, place, line_no, line from __LINES__)),
+    c as (select *, length(line) <= 60 and length(regexp_replace(line, '[^A-Za-z]', '', 'g')) >= 3 and length(regexp_replace(line, '[^A-Z]', '', 'g')) >= 0.9 * length(regexp_replace(line, '[^A-Za-z]', '', 'g')) as head, regexp_replace(upper(line), '[^A-Z]', '', 'g') as key
+        from l where not regexp_full_match(line, '[0-9ivxlIl]{1,4}'))""".replace("__LINES__", _LINES)
+
+
+@query(
+    "first_headers",
+    f"""with {_SCANNED}
+    select import_id, place::int as place, line_no::int as line_no, line from (select *, count(*) over (partition by import_id, key) as n, row_number() over (partition by import_id, key order by place, line_no) as k from c where head) where n >= 3 and k > 1""",
+)
+def first_headers(spark: SparkSession, base: str) -> DataFrame:
+    """The repeated running headers that are left out of imports."""
+    lines = import_lines(spark, base).withColumn("line", X.collapse(F.col("line"))).withColumn("no", F.struct("place", "line_no"))
+    kept = assembly.without_page_numbers(lines.select("import_id", F.col("no").alias("line_no"), "line"))
+    return assembly.first_headers(kept, "import_id").where("dropped").select("import_id", "line_no.place", F.col("line_no.line_no").alias("line_no"), "line")
+
+
+def imported_texts(spark: SparkSession, base: str) -> DataFrame:
+    """(import_id, text, ocr): each import as one text, its elements parted by blank lines."""
+    return table(spark, base, "imported_chapters").select("import_id", F.array_join("paragraphs", "\n\n").alias("text"), F.coalesce("ocr", F.lit(True)).alias("ocr"))
+
+
+@query("import_chapters")
+def import_chapters(spark: SparkSession, base: str) -> DataFrame:
+    """Every paragraph of the assembled imports with its chapter."""
+    return assembly.import_texts(imported_texts(spark, base), "import_id")[0]
+
+
+@query("import_warnings")
+def import_warnings(spark: SparkSession, base: str) -> DataFrame:
+    return assembly.import_texts(imported_texts(spark, base), "import_id")[1]
+
+
 @query("ocr_repaired")
 def ocr_repaired(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "imported_chapters").select("import_id", F.posexplode("paragraphs").alias("place", "text")).where("text is not null")
@@ -538,9 +640,9 @@ def dehyphenated(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "suspicious_openings",
     r"""with f as (select book_id, chapter_id, first(text order by index, para_id) as text from paragraphs where text is not null group by all),
-    o as (select book_id, chapter_id, regexp_extract(text, '^\s*([A-Z0-9]{2,})([^\p{L}\p{N}]|$)', 1) as opening from f),
+    o as (select book_id, chapter_id, array_to_string(list_filter(string_split(list_filter(string_split_regex(text, '[\s\p{Z}]+'), lambda w: w <> '')[1], ''), lambda c: regexp_full_match(c, '[A-Za-z0-9]')), '') as opening from f),
     k as (select upper(word) as word from (select lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as word from paragraphs where kind = 'text') group by 1 having count(*) >= 2)
-    select book_id, chapter_id, opening from o where opening <> '' and opening not in (select word from k)""",
+    select book_id, chapter_id, opening from o where regexp_full_match(opening, '[A-Z0-9]{2,}') and opening not in (select word from k)""",
 )
 def suspicious_openings(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "paragraphs").where("text is not null").withColumn("place", F.struct("index", "para_id"))
