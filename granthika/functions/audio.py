@@ -30,9 +30,14 @@ def resample(source: int, target: int):
         def one(x):
             if x is None or source == target or len(x) == 0:
                 return x
-            n = max(1, round(len(x) * target / source))
+            n = max(1, int(len(x) * target / source))
             return np.interp(np.linspace(0, len(x) - 1, n), np.arange(len(x)), np.asarray(x, float))
 
         return samples.map(one)
 
     return run
+
+
+def payload_bytes(payload: Column) -> Column:
+    """The sound in an answer: base64, with or without the head of a data address."""
+    return F.try_to_binary(F.regexp_replace(payload, r"^data:[^,]*,", ""), F.lit("base64"))

@@ -26,3 +26,8 @@ def mean_vector(a: Column) -> Column:
     first = a[0].cast("array<double>")
     total = F.aggregate(F.slice(a, 2, F.size(a)), first, lambda s, v: F.zip_with(s, v.cast("array<double>"), lambda x, y: x + y))
     return F.transform(total, lambda x: x / F.size(a))
+
+
+def by_index(items: Column) -> Column:
+    """The embeddings of an answer, structs (index, embedding), in the order of their index."""
+    return F.transform(F.array_sort(items, lambda a, b: F.when(a["index"] < b["index"], -1).when(a["index"] > b["index"], 1).otherwise(0)), lambda x: x["embedding"])

@@ -14,6 +14,7 @@ import zipfile
 from html.parser import HTMLParser
 from urllib.parse import unquote, urlsplit
 from xml.etree import ElementTree as ET
+from xml.parsers import expat
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -47,9 +48,14 @@ def _local(tag: str) -> str:
 
 
 def _xml(data: bytes) -> ET.Element:
-    """Parse XML, refusing documents that declare entities."""
-    if re.search(rb"<!ENTITY", data[:4096], re.IGNORECASE):
+    """Parse XML, refusing documents that declare entities, wherever they do and however they are encoded."""
+
+    def refuse(*_) -> None:
         raise ValueError("entity declarations are not read")
+
+    first = expat.ParserCreate()
+    first.EntityDeclHandler = refuse
+    first.Parse(data, True)
     return ET.fromstring(data)
 
 
@@ -61,7 +67,8 @@ class BlockReader(HTMLParser):
         self.blocks: list[dict] = []
         self.stack: list[tuple[str, dict | None, bool]] = []
         self.title: list[str] = []
-        self.in_title = False
+        self.named: list[dict] = []  # the body's h1, h2 and title elements in order
+        self.in_title = self.in_head = False
         self.skip = 0
 
     def handle_starttag(self, tag: str, attrs) -> None:
@@ -69,8 +76,12 @@ class BlockReader(HTMLParser):
             self._text(" ")
         if tag in VOID:
             return
+        if tag == "head":
+            self.in_head = True
         if tag == "title":
             self.in_title = True
+            if not self.in_head:
+                self.named.append({"tag": tag, "text": [], "junk": False})
         if tag in ("script", "style"):
             self.skip += 1
         names = dict(attrs)
@@ -86,6 +97,8 @@ class BlockReader(HTMLParser):
             parent = next((b["tag"] for _, b, _ in reversed(self.stack) if b is not None), None)
             block = {"index": len(self.blocks), "tag": tag, "parent": parent, "text": [], "marked": [], "marks": 0, "inner": False, "junk": junk}
             self.blocks.append(block)
+            if tag in ("h1", "h2"):
+                self.named.append(block)
         elif tag in INLINE:
             for _, outer, _ in reversed(self.stack):
                 if outer is not None:
@@ -98,6 +111,8 @@ class BlockReader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "title":
             self.in_title = False
+        if tag == "head":
+            self.in_head = False
         if tag in ("script", "style") and self.skip:
             self.skip -= 1
         for k in range(len(self.stack) - 1, -1, -1):
@@ -113,7 +128,7 @@ class BlockReader(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.in_title:
-            self.title.append(data)
+            (self.title if self.in_head else self.named[-1]["text"]).append(data)
         elif not self.skip:
             self._text(data)
 
@@ -124,10 +139,16 @@ class BlockReader(HTMLParser):
                 block["marked"].append(data)
 
 
-def read_blocks(data: bytes) -> tuple[list[dict], str]:
+def read_document(data: bytes) -> BlockReader:
     reader = BlockReader()
     reader.feed(data.decode("utf-8", "replace"))
     reader.close()
+    return reader
+
+
+def read_blocks(data: bytes) -> tuple[list[dict], str]:
+    """The blocks of a document and the title in its head."""
+    reader = read_document(data)
     return reader.blocks, _flat("".join(reader.title))
 
 
@@ -200,26 +221,34 @@ class Book:
             out.append((idref, path))
         return out
 
+    def _part(self, item: dict | None) -> tuple[str, ET.Element | None]:
+        """Path and root of a navigation file; no root where it is missing or unreadable."""
+        path = self.resolve(item.get("href", "")) if item is not None else ""
+        try:
+            return path, _xml(self.zip.read(path)) if path else None
+        except (KeyError, ET.ParseError, expat.ExpatError):
+            return path, None
+
     def labels(self) -> dict[str, str]:
-        """The first table-of-contents label of each document: from the navigation document, else from the NCX."""
-        nav = next((i for i in self.items.values() if "nav" in i.get("properties", "").split()), None)
+        """The first table-of-contents label of each document: from the contents of the navigation document, then from the NCX.
+
+        Page lists and landmarks of the navigation document name no chapters.
+        """
         out: dict[str, str] = {}
-        if nav is not None:
-            path = self.resolve(nav["href"])
-            if path in self.zip.namelist():
-                for href, label in re.findall(r'<a\b[^>]*\bhref="([^"]+)"[^>]*>(.*?)</a>', self.zip.read(path).decode("utf-8", "replace"), re.S | re.I):
-                    text = _flat(re.sub(r"<[^>]+>", "", label))
-                    if text:
-                        out.setdefault(self.resolve(href, posixpath.dirname(path)), text)
-            return out
-        ncx = next((i for i in self.items.values() if i.get("media-type") == "application/x-dtbncx+xml"), None)
-        if ncx is not None and self.resolve(ncx["href"]) in self.zip.namelist():
-            path = self.resolve(ncx["href"])
-            for point in (e for e in _xml(self.zip.read(path)).iter() if _local(e.tag) == "navPoint"):
-                label = next((_flat("".join(e.itertext())) for e in point if _local(e.tag) == "navLabel"), "")
-                target = next((e.attrib.get("src", "") for e in point if _local(e.tag) == "content"), "")
-                if label and target:
-                    out.setdefault(self.resolve(target, posixpath.dirname(path)), label)
+        path, root = self._part(next((i for i in self.items.values() if "nav" in i.get("properties", "").split()), None))
+        for nav in root.iter() if root is not None else ():
+            kind = nav.attrib.get("{http://www.idpf.org/2007/ops}type") or nav.attrib.get("epub:type") or ""
+            if _local(nav.tag) == "nav" and "toc" in kind.split():
+                for a in (e for e in nav.iter() if _local(e.tag) == "a"):
+                    label, href = _flat("".join(a.itertext())), a.attrib.get("href")
+                    if label and href:
+                        out.setdefault(self.resolve(href, posixpath.dirname(path)), label)
+        path, root = self._part(next((i for i in self.items.values() if i.get("media-type") == "application/x-dtbncx+xml"), None))
+        for point in (e for e in root.iter() if _local(e.tag) == "navPoint") if root is not None else ():
+            label = next((_flat("".join(e.itertext())) for e in point if _local(e.tag) == "navLabel"), "")
+            target = next((e.attrib.get("src", "") for e in point if _local(e.tag) == "content"), "")
+            if label and target:
+                out.setdefault(self.resolve(target, posixpath.dirname(path)), label)
         return out
 
 
@@ -227,12 +256,16 @@ def _cut_title(title: str) -> str:
     return title if len(title) <= MAX_TITLE else (title[:MAX_TITLE].rsplit(" ", 1)[0] or title[:MAX_TITLE])
 
 
-def chapter_title(blocks: list[dict], head: str, label: str | None) -> str | None:
-    """The first h1 or h2, else the document title, else the contents label, else a lower heading."""
-    def heading(tags) -> str:
-        return next((t for b in blocks if b["tag"] in tags and not b["junk"] and (t := _flat("".join(b["text"])))), "")
+def chapter_title(document: BlockReader, label: str | None) -> str | None:
+    """The first h1, h2 or title in the body, if it says anything, else the contents label, else the first lower heading.
+
+    The title in the head names the book more often than the chapter and is not asked.
+    """
+
+    def text_of(found: list[dict]) -> str:
+        return next((_flat("".join(b["text"])) for b in found if not b["junk"]), "")
 
-    title = heading(("h1", "h2")) or head or label or heading(("h3", "h4", "h5", "h6"))
+    title = text_of(document.named) or label or text_of([b for b in document.blocks if b["tag"] in ("h3", "h4", "h5", "h6")])
     return _cut_title(title) if title else None
 
 
@@ -249,12 +282,12 @@ def book_rows(path: str, data: bytes, view: str, least: int) -> list[tuple]:
     for item, name in book.documents():
         if item in left_out:
             continue
-        blocks, head = read_blocks(book.zip.read(name))
-        rows = paragraphs_of(blocks, least)
+        document = read_document(book.zip.read(name))
+        rows = paragraphs_of(document.blocks, least)
         if not rows:
             continue
         order += 1
-        named = chapter_title(blocks, head, labels.get(name))
+        named = chapter_title(document, labels.get(name))
         out += [(path, title, order, item, named, pos, *row) for pos, row in enumerate(rows)]
     return out
 
