@@ -28,11 +28,29 @@ def force_terms(text: Column, terms: Column) -> Column:
     return F.aggregate(terms, text, lambda done, t: F.regexp_replace(done, _literal(t["source"]), _quoted(t["target"])))
 
 
+def _mask(number: Column) -> Column:
+    return F.concat(F.lit("⟦DNT"), number.cast("string"), F.lit("⟧"))
+
+
+def _numbered(names: Column) -> Column:
+    return F.transform(names, lambda n, i: F.struct(i.alias("no"), n.alias("name")))
+
+
+def mask_numbered(text: Column, names: Column) -> Column:
+    """Protected names, structs (no, name), replaced by ⟦DNT0⟧, ⟦DNT1⟧ … in the order given."""
+    return F.aggregate(names, text, lambda done, t: F.regexp_replace(done, _literal(t["name"]), _mask(t["no"])))
+
+
+def unmask_numbered(text: Column, names: Column) -> Column:
+    """Masks replaced by the names as listed."""
+    return F.aggregate(names, text, lambda done, t: F.replace(done, _mask(t["no"]), t["name"]))
+
+
 def mask_terms(text: Column, names: Column) -> Column:
-    """Protected names replaced by ⟦DNT0⟧, ⟦DNT1⟧ …; ``names`` are structs (no, name) in the order in which they are looked for."""
-    return F.aggregate(names, text, lambda done, t: F.regexp_replace(done, _literal(t["name"]), F.concat(F.lit("⟦DNT"), t["no"].cast("string"), F.lit("⟧"))))
+    """Protected names replaced by ⟦DNT0⟧, ⟦DNT1⟧ …, numbered in the order given."""
+    return mask_numbered(text, _numbered(names))
 
 
 def unmask_terms(text: Column, names: Column) -> Column:
     """Masks replaced by the names as listed."""
-    return F.aggregate(names, text, lambda done, t: F.replace(done, F.concat(F.lit("⟦DNT"), t["no"].cast("string"), F.lit("⟧")), t["name"]))
+    return unmask_numbered(text, _numbered(names))

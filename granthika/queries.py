@@ -138,8 +138,8 @@ def glossary_masked(spark: SparkSession, base: str) -> DataFrame:
     terms = names.select("book_id", F.col("name").alias("source_term"), "name", number.alias("no"))
     rows = table(spark, base, "paragraphs").where("text is not null").select("book_id", "para_id", "text").join(terms.select("book_id").distinct(), "book_id", "left_semi")
     hits = candidates.relevant_terms(rows, terms, ["book_id"], ["para_id"]).groupBy("para_id").agg(F.array_sort(F.collect_list(F.struct("no", "name"))).alias("names"))
-    marked = rows.join(hits, "para_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<struct<no:int,name:string>>"))).withColumn("masked", glossary.mask_terms(F.col("text"), F.col("names")))
-    return marked.select("para_id", "masked", glossary.unmask_terms(F.col("masked"), F.col("names")).alias("restored"))
+    marked = rows.join(hits, "para_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<struct<no:int,name:string>>"))).withColumn("masked", glossary.mask_numbered(F.col("text"), F.col("names")))
+    return marked.select("para_id", "masked", glossary.unmask_numbered(F.col("masked"), F.col("names")).alias("restored"))
 
 
 _ROMAN = "M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})"

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from granthika.sources.epub import BLOCKS, INLINE, VOID, Book, BlockReader
 
+from .strip import hollow_document
+
 _MARK = re.compile(r"⟦(/?)(\d+)⟧")
 
 
@@ -97,8 +99,11 @@ def translate_document(data: bytes, texts: dict[int, str]) -> bytes:
     return out.encode()
 
 
-def translate_epub(data: bytes, texts: dict[str, dict[int, str]], language: str) -> bytes:
-    """A copy of an EPUB with translated documents (by manifest id) and its language set; an unknown id is an error."""
+def translate_epub(data: bytes, texts: dict[str, dict[int, str]], language: str, hollow: bool = False) -> bytes:
+    """A copy of an EPUB with translated documents (by manifest id) and its language set; an unknown id is an error.
+
+    ``hollow`` empties a library's boilerplate in the documents.
+    """
     book, target = Book(data), io.BytesIO()
     where = dict(book.documents())
     if set(texts) - set(where):
@@ -110,7 +115,9 @@ def translate_epub(data: bytes, texts: dict[str, dict[int, str]], language: str)
             content = book.zip.read(info.filename)
             if info.filename in changed:
                 content = translate_document(content, changed[info.filename])
-            elif info.filename == book.opf_path:
+            if hollow and info.filename in where.values():
+                content = hollow_document(content)
+            if info.filename == book.opf_path:
                 content = re.sub(rb"(<dc:language\b[^>]*>)[^<]*", rb"\g<1>" + language.encode(), content, count=1)
             copy = zipfile.ZipInfo(info.filename, info.date_time)
             copy.compress_type, copy.external_attr = zipfile.ZIP_STORED if info.filename == "mimetype" else info.compress_type, info.external_attr
@@ -118,8 +125,9 @@ def translate_epub(data: bytes, texts: dict[str, dict[int, str]], language: str)
     return target.getvalue()
 
 
-def write_translations(files: DataFrame, texts: DataFrame, folder: str, language: str) -> DataFrame:
-    """Write a translated copy of each EPUB of ``files`` (path, content) with ``texts`` (path, chapter_id, index, text).
+def write_translations(files: DataFrame, texts: DataFrame, folder: str, language: str, hollow: bool = False) -> DataFrame:
+    """Write a translated copy of each EPUB of ``files`` (path, content) with ``texts`` (path, chapter_id, index, text), with ``hollow`` without
+    a library's boilerplate. ``folder`` must be one that all executors share.
 
     Returns (path, written, blocks). Files without texts aren't written. One task handles a book; files appear by renaming.
     """
@@ -136,7 +144,7 @@ def write_translations(files: DataFrame, texts: DataFrame, folder: str, language
                 os.makedirs(folder, exist_ok=True)
                 part = f"{target}.{uuid.uuid4().hex}.part"
                 with open(part, "wb") as file:
-                    file.write(translate_epub(content, by, language))
+                    file.write(translate_epub(content, by, language, hollow))
                 os.replace(part, target)
                 out.append((path, target, sum(map(len, by.values()))))
             yield pd.DataFrame(out, columns=["path", "written", "blocks"])

@@ -132,7 +132,8 @@ def is_wrapped(lines: list[str]) -> bool:
 def html_paragraphs(html: str) -> list[str]:
     """The paragraphs of a transcription page's book.
 
-    Its innermost blocks; where it has none its lines, or, if they are hard-wrapped, what stands between blank lines.
+    Its innermost blocks, line breaks parting them; where it has none its lines, or, if they are hard-wrapped, what stands between
+    blank lines.
     """
     page = _Page()
     page.feed(html)
@@ -141,7 +142,7 @@ def html_paragraphs(html: str) -> list[str]:
     blocks = [n for n, _ in holder.elements() if n is not holder and n.tag in PAGE_BLOCKS]
     if blocks:
         inner = [n for n in blocks if not any(x is not n and x.tag in PAGE_BLOCKS for x, _ in n.elements())]
-        return [t for n in inner if (t := " ".join(n.text().split()))]
+        return [t for n in inner for part in n.text("\0").split("\0") if (t := " ".join(part.split()))]
     raw = holder.text("\n").replace("\xa0", " ")
     parts = [[x.strip() for x in part.split("\n") if x.strip()] for part in re.split(r"\n[^\S\n]*\n+", raw)]
     lines = [x for part in parts for x in part]

@@ -222,3 +222,21 @@ def test_entities_are_refused_wherever_they_stand():
         with pytest.raises(ValueError, match="entity"):
             epub._xml(data)
     assert epub._xml(b"<a><!-- <!ENTITY e 'x'> --></a>").tag == "a"
+
+
+def test_hollow_boilerplate():
+    from granthika.sinks.strip import hollow_document
+
+    page = (
+        '<html><body><p id="a">Keep &amp; all</p><div id="pg-header" class="x"><h2>The Library<!-- c --></h2><ul><a id="k"></a><li>one <b id="q">two</b></li><li/></ul><p>x<br/>y</p><i id="z">end</i></div>'
+        '<p>More</p><section class="pg-boilerplate"><div id="pg-footer"><p>Licence</p></div></section><p>Last</p></body></html>'
+    )
+    out = hollow_document(page.encode()).decode()
+    tags = lambda text: [b["tag"] for b in epub.read_blocks(text.encode())[0]]
+    ids = lambda text: sorted(re.findall(r'id="([^"]+)"', text))
+    assert tags(out) == tags(page) and ids(out) == ids(page)
+    for gone in ("Library", "one", "two", "<b id", "<i id", "Licence", "<!--", "<br"):
+        assert gone not in out
+    assert '<p id="a">Keep &amp; all</p>' in out and "<p>More</p>" in out and out.endswith("<p>Last</p></body></html>") and '<ul><li><span id="k"></span>' in out
+    plain = b"<html><body><p>x</p></body></html>"
+    assert hollow_document(plain) is plain
