@@ -23,9 +23,27 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def chunk_ends(text: str) -> list[int]:
-    """Where the chunks of white space and word end that are tokenized each by itself."""
-    return [len(text)] if _ODD_SPACE.search(text) else [m.end() for m in _CHUNK.finditer(text)]
+def has_odd_space(text: str) -> bool:
+    """Whether a text has control characters that Python and the tokenizer's expression don't both take for space: it is tokenized whole."""
+    return _ODD_SPACE.search(text) is not None
+
+
+def begins_chunk(text: str, at: int) -> bool:
+    """Whether a chunk of white space and word, which is tokenized by itself, begins at a place before the text's end."""
+    return at == 0 or text[at].isspace() and not text[at - 1].isspace()
+
+
+def chunk_end(text: str, at: int) -> int:
+    """Where the chunk ends that a place stands in."""
+    return _CHUNK.match(text, at).end()
+
+
+def last_chunk(text: str, lo: int, hi: int) -> int:
+    """Where the last chunk of a stretch begins."""
+    if text[hi - 1].isspace():
+        return lo + len(text[lo:hi].rstrip())
+    head = text[lo:hi].rsplit(None, 1)
+    return lo + len(head[0]) if len(head) > 1 else lo
 
 
 class Tokenizer:
@@ -63,7 +81,7 @@ class Tokenizer:
             self._load()
         if not text:
             return b""
-        if _ODD_SPACE.search(text):
+        if has_odd_space(text):
             return self._encode(text)
         known = self._known
         chunks = _CHUNK.findall(text)
