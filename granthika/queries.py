@@ -187,13 +187,27 @@ def sentence_pieces(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "paragraphs").where("text is not null").select("para_id", F.size(pieces).alias("pieces"))
 
 
-@query("sentence_merge")
+_SENTENCES = r"""pieces as (select para_id, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') as p from paragraphs where text is not null),
+    placed as (select para_id, unnest(range(1, len(p) + 1)) as i, unnest(p) as piece from pieces),
+    told as (select *, lag(regexp_matches(piece, '(^|[^\p{L}\p{N}_])[A-Z][a-z]{0,2}\.$') and not regexp_matches(piece, '(^|[^\p{L}\p{N}_])I\.$')) over (partition by para_id order by i) as goes_on from placed),
+    parted as (select *, sum((not coalesce(goes_on, false))::int) over (partition by para_id order by i) - 1 as no from told),
+    sentences as (select para_id, no::int as no, string_agg(piece, ' ' order by i) as sentence from parted group by all)"""
+
+
+@query("sentence_merge", f"with {_SENTENCES} select * from sentences")
 def sentence_merge(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "paragraphs").where("text is not null")
     return rows.select("para_id", F.posexplode(X.split_sentences(F.col("text"), "eng_Latn")).alias("no", "sentence"))
 
 
-@query("narration_chunks")
+@query(
+    "narration_chunks",
+    f"""with recursive {_SENTENCES},
+    walk as (select para_id, 0 as i, sentence as chunk, 0 as no from sentences where no = 0
+        union all select w.para_id, w.i + 1, case when length(w.chunk) + 1 + length(s.sentence) <= 200 then w.chunk || ' ' || s.sentence else s.sentence end, case when length(w.chunk) + 1 + length(s.sentence) <= 200 then w.no else w.no + 1 end
+        from walk w join sentences s on s.para_id = w.para_id and s.no = w.i + 1)
+    select para_id, no, arg_max(chunk, i) as chunk from walk group by para_id, no""",
+)
 def narration_chunks(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "paragraphs").where("text is not null")
     return rows.select("para_id", F.posexplode(X.pack(X.split_sentences(F.col("text"), "eng_Latn"), 200)).alias("no", "chunk"))
@@ -570,7 +584,15 @@ def import_warnings(spark: SparkSession, base: str) -> DataFrame:
     return assembly.import_texts(imported_texts(spark, base), "import_id")[1]
 
 
-@query("ocr_repaired")
+@query(
+    "ocr_repaired",
+    r"""with r as (select import_id, unnest(range(0, len(paragraphs))) as place, unnest(paragraphs) as text from imported_chapters),
+    f as (select import_id, place, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '__QUOTES__', '"', 'g'), '[\s\p{Z}]+([,.;:!?])', '\1', 'g'), '"[\s\p{Z}]+"', '" "', 'g'), '[\s\p{Z}]+', ' ', 'g')) as text from r where text is not null),
+    k as (select * from f where length(text) > 1 and regexp_matches(text, '[\p{L}\p{Nl}_]')),
+    t as (select *, coalesce(not regexp_matches(right(lag(text) over (partition by import_id order by place), 1), '[__ENDS__]') and regexp_matches(text, '^[\p{Ll},;]'), false) as torn from k),
+    i as (select *, sum((not torn)::int) over (partition by import_id order by place) as island from t)
+    select import_id, island::bigint as island, count(*)::int as pieces, string_agg(text, ' ' order by place) as text from i group by import_id, island""".replace("__QUOTES__", X.QUOTE_JUNK.replace("'", "''")).replace("__ENDS__", X.END_PUNCTUATION.replace("'", "''")),
+)
 def ocr_repaired(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "imported_chapters").select("import_id", F.posexplode("paragraphs").alias("place", "text")).where("text is not null")
     fixed = rows.select("import_id", "place", X.fix_ocr(F.col("text")).alias("text")).where(X.keep_paragraph(F.col("text")))
@@ -631,7 +653,17 @@ def hard_wrapped(spark: SparkSession, base: str) -> DataFrame:
     return imports.hard_wrapped(import_lines(spark, base).withColumnRenamed("line", "text"), ["import_id"])
 
 
-@query("dehyphenated")
+@query(
+    "dehyphenated",
+    r"""with recursive t as (select import_id, array_to_string(paragraphs, chr(10)) as text from imported_chapters where paragraphs is not null),
+    w as (select distinct import_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as word from t),
+    pairs as (select distinct import_id, unnest(regexp_extract_all(text, '\b([A-Za-z]+- +[a-z]+)\b', 1)) as pair from t),
+    judged as (select p.import_id, pair, exists (select 1 from w where w.import_id = p.import_id and w.word in (lower(regexp_replace(pair, '- +', '')), rtrim(lower(regexp_replace(pair, '- +', '')), 's'))) as known from pairs p),
+    fixes as (select *, row_number() over (partition by import_id order by pair) as k from judged),
+    walk as (select import_id, text, 0::bigint as k from t union all
+        select walk.import_id, regexp_replace(text, '\b' || pair || '\b', regexp_replace(pair, '- +', case when known then '' else '-' end), 'g'), walk.k + 1 from walk join fixes on fixes.import_id = walk.import_id and fixes.k = walk.k + 1)
+    select import_id, arg_max(text, k) as text from walk group by import_id""",
+)
 def dehyphenated(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "imported_chapters").select("import_id", F.array_join("paragraphs", "\n").alias("text"))
     return rows.select("import_id", imports.dehyphenate(F.col("text")).alias("text"))
