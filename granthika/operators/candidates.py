@@ -92,13 +92,13 @@ def _trigrams(word: Column) -> Column:
     return F.array_distinct(runs)
 
 
-def _pieces(word: Column) -> Column:
-    """What a word can be found by: its runs of one, two and three characters."""
+def _runs(word: Column, sizes: list[int]) -> Column:
+    """The runs of ``sizes`` characters of a word, each once."""
 
-    def runs(size: int) -> Column:
+    def of(size: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - size + 1, F.lit(1))), lambda i: F.substring(word, i, F.lit(size)))
 
-    return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *map(of, sizes)))
 
 
 def relevant_terms(texts: DataFrame, glossary: DataFrame, on: list[str], key: list[str]) -> DataFrame:
@@ -114,7 +114,8 @@ def relevant_terms(texts: DataFrame, glossary: DataFrame, on: list[str], key: li
     pieces = terms.select(*on, "_piece").distinct().select(*on, "_piece", F.explode(_trigrams(F.col("_piece"))).alias("_run"))
     rarity = pieces.groupBy("_run").agg(F.count("*").alias("_often"))
     anchors = pieces.join(rarity, "_run").groupBy(*on, "_piece").agg(F.min_by("_run", F.struct("_often", "_run")).alias("_run"))
-    vocabulary = words.select(*on, "_word").distinct().select(*on, "_word", F.explode(_pieces(F.col("_word"))).alias("_run"))
+    sizes = sorted(r.n for r in anchors.select(F.length("_run").alias("n")).distinct().collect())  # of 1, 2 and 3
+    vocabulary = words.select(*on, "_word").distinct().select(*on, "_word", F.explode(_runs(F.col("_word"), sizes)).alias("_run"))
     holding = vocabulary.join(anchors, [*on, "_run"]).where(F.contains("_word", F.col("_piece"))).select(*on, "_word", "_piece")
     met = words.join(holding, [*on, "_word"]).select(*on, *key, "_piece").distinct().join(terms, [*on, "_piece"]).drop("_piece")
     return texts.join(met, [*on, *key]).where(F.contains(F.lower("text"), F.lower("source_term")))

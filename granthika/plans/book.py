@@ -60,9 +60,11 @@ def translate(paragraphs: DataFrame, plan: BookPlan, glossary: DataFrame | None
         known = pairs.select("book_id", F.col("term").alias("source_term"), "term", "target")
         hits = relevant_terms(todo.select(*keys, "index", "batch_no", F.col("source").alias("text")), known, ["book_id"], ["chapter_id", "index"])
         terms = hits.groupBy(*keys, "batch_no").agg(F.map_from_entries(F.collect_set(F.struct("term", "target"))).alias("terms"))
-        ready = ready.join(terms, [*keys, "batch_no"], "left")
+        told = ready.join(terms, [*keys, "batch_no"], "left")  # for the editor only: what follows needs no terms
+    else:
+        told = ready
     wanted = ready.where("needed")
-    edited = settle(E.edit_batches(wanted.select(*keys, "batch_no", "position", "draft", "prior_context", *(["terms"] if glossary is not None else [])), plan.editor, [*keys, "batch_no"]), "edits")
+    edited = settle(E.edit_batches(told.where("needed").select(*keys, "batch_no", "position", "draft", "prior_context", *(["terms"] if glossary is not None else [])), plan.editor, [*keys, "batch_no"]), "edits")
     O.assert_aligned(wanted.select(*keys, "batch_no", "position"), edited, [*keys, "batch_no", "position"]).write.format("noop").mode("overwrite").save()
     out = ready.join(edited, [*keys, "batch_no", "position"], "left").select(
         *keys, "index", "position", "batch_no", "source", "draft", X.normal_emotion(F.col("emotion")).alias("emotion"), F.coalesce("edited", "source").alias("edited"), "prior_context"
