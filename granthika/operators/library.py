@@ -17,10 +17,10 @@ def named(metadata: DataFrame) -> DataFrame:
 
 
 def shelf(files: DataFrame, metadata: DataFrame) -> DataFrame:
-    """(path, title, creator, readable, place) of all ``files`` (path): books without metadata can't be read; ``place`` counts by title, whatever the case."""
+    """(path, title, creator, readable) of all ``files`` (path), sorted by title, whatever the case; books without metadata can't be read."""
     known = metadata.select("path", "title", "creator", F.lit(True).alias("readable"))
     rows = named(files.select("path").distinct().join(known, "path", "left")).withColumn("readable", F.coalesce("readable", F.lit(False)))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.lower("title"), "path")))  # a folder's list: a row a book, not a page
+    return rows.orderBy(F.lower("title"), "path")
 
 
 def source_files(runs: DataFrame, files: DataFrame, books: str) -> DataFrame:
