@@ -88,6 +88,13 @@ def test_natural_cuts():
     assert set(ends) <= set(".?1")
 
 
+def test_finer_levels_are_looked_for_only_where_units_are_too_long(monkeypatch):
+    asked, real = [], pieces.sentence_spans
+    monkeypatch.setattr(pieces, "sentence_spans", lambda text, model: asked.append(text) or real(text, model))
+    assert len(cut("One. Two. Three.\n" * 20, 64, 0)) > 1 and asked == []  # lines are short enough
+    assert len(cut("One. Two. Three. " * 40, 64, 0)) > 1 and len(asked) == 1
+
+
 def test_split_operator(spark):
     df = spark.createDataFrame([(1, "word " * 30, "x"), (2, None, "x"), (3, "", "x"), (4, "short", "x"), (1, "word " * 30, "x")], "k long, text string, piece string")
     out = values(pieces.split_texts(df, [("p", 20, 4)], ["k"]), "k", "piece_no", "n_tokens")
