@@ -191,3 +191,17 @@ def test_scans(spark):
     assert (100, 3, "running_header", "") in got and (100, 3, "page_number", "") in got and (100, 4, "broken_paragraph", "") in got and (100, 5, "page_number", "") in got
     assert (100, 8, "hyphen_break", "salt-white") in got and {r[0] for r in got} == {100} and len(got) == 8
     assert values(scans.repair_scans(df.limit(0))) == []
+
+
+def test_models_learn_from_all_rows(spark):
+    rng = random.Random(3)
+    examples = [([float(rng.random() < 0.5), float(k % 3)], int(k % 3 == 0), 1.0) for k in range(30_000)]
+    model = boosting.fit_examples(spark.createDataFrame(examples, scans._EXAMPLES), 2, boosting.BoostedTrees())
+    alone = boosting.BoostedTrees().fit(np.array([x for x, _, _ in examples]), np.array([y for _, y, _ in examples]))
+    ask = np.array([[0.0, 0.0], [1.0, 0.0], [0.0, 1.0], [1.0, 2.0]])
+    assert np.allclose(model.predict(ask), alone.predict(ask), atol=0.02)
+    # a sample of 3,000 of these titles would miss the frame's exact share; it stands in 1,001 of 10,000
+    titles = [f"the {a}{k} and {a}" for k, a in enumerate("abcdefghij" * 100)] + ["The One and X"] + [f"the and {k} of it" for k in range(8_999)]
+    frames = scans.title_frames(spark.createDataFrame([(t,) for t in titles], "title string"), 10_000)
+    assert frames == [("the", "and", None, "of", "it"), ("the", None, "and", None)]
+    assert len(scans.title_frames(spark.createDataFrame([(t,) for t in titles], "title string"), 10_011)) == 1
