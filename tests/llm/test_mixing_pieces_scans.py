@@ -205,3 +205,10 @@ def test_models_learn_from_all_rows(spark):
     frames = scans.title_frames(spark.createDataFrame([(t,) for t in titles], "title string"), 10_000)
     assert frames == [("the", "and", None, "of", "it"), ("the", None, "and", None)]
     assert len(scans.title_frames(spark.createDataFrame([(t,) for t in titles], "title string"), 10_011)) == 1
+
+
+def test_scans_broadcast_nothing(spark):
+    rows = [(i, f"b{i % 6}", i, "The Red Map and Payaki", i % 2 == 0, ["The sol-\ndier mended the larnp near the harbour."] * 3) for i in range(20)]
+    df = spark.createDataFrame(rows, "import_id long, book_id string, chapter_no int, title string, ocr boolean, paragraphs array<string>")
+    plan = scans.repair_scans(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
